@@ -25,6 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .textscan import chunks
@@ -354,8 +355,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
             out = [decode_ids(np.frombuffer(x.as_buffer(), "<u4"), path) if x.is_valid and len(x.as_buffer()) else b"" for x in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
 
-    schema = df.schema.add(out_col, "binary")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, fair_mix, license_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op9_license_scan": license_scan.op9_license_scan,
+        "op10_fair_mix": fair_mix.op10_fair_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_license_scan": license_scan.ORACLE,
+        "op10_fair_mix": fair_mix.ORACLE,
+    }
