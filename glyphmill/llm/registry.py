@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fair_mix, license_scan, minhash_dedup
+from . import byte_bpe, fair_mix, graph_dedup, license_scan, minhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op4_graph_dedup": graph_dedup.op4_graph_dedup,
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_fair_mix": fair_mix.op10_fair_mix,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_graph_dedup": graph_dedup.ORACLE,
         "op5_minhash_dedup": minhash_dedup.ORACLE,
         "op9_license_scan": license_scan.ORACLE,
         "op10_fair_mix": fair_mix.ORACLE,
