@@ -82,13 +82,8 @@ def prune(v: np.ndarray) -> list[np.ndarray]:
         src.append(at + i)
         dst.append(near[at, to])
     a, b = np.concatenate(src), np.concatenate(dst)
-    # reverse edges, the nearest DEGREE of them
-    sim = np.einsum("ij,ij->i", v[a], v[b])
-    order = np.lexsort((-sim, b))
-    a_in, b_in = a[order], b[order]
-    rank = np.arange(len(b_in)) - np.searchsorted(b_in, b_in)
-    keep = rank < DEGREE
-    both = np.unique(np.concatenate([a * n + b, b_in[keep] * n + a_in[keep]]))
+    # all reverse edges: a hub keeps each node that leans on it, else those could not be reached
+    both = np.unique(np.concatenate([a * n + b, b * n + a]))
     at = np.searchsorted(both // n, np.arange(n + 1))
     return [both[at[i] : at[i + 1]] % n for i in range(n)]
 
@@ -208,7 +203,7 @@ def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: in
     # one row per shard; there are MOST_SHARDS of a dimension at most
     placed = placed.join(F.broadcast(scratch.cut(blocks)), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     lists = placed.groupBy("shard", "block").applyInArrow(_build, "id long, nbrs array<long>")
-    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))  # overlap * 2 * DEGREE at most
+    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))  # 2 * DEGREE on average, overlap * CAP at most
     vectors = classes.select("id", "v", "mult").join(lists, "id")
     member = placed.select("shard", "nb", "block", "id", "home").join(vectors, "id")
     member = scratch.cut(member)
