@@ -101,7 +101,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 # ids compare as the window ordered them; a null id stands first
                 mine = F.struct(finish(k), "skey", "key", F.col("id"), "size", F.lit(k))
                 edge_id = F.lit(last["id"]).cast(placed.schema["id"].dataType)
-                inside = mine <= F.struct(F.lit(last["finish"]), F.lit(last["skey"]), F.lit(last["key"]), edge_id, F.lit(last["size"]), F.lit(last["pass"]))
+                inside = mine <= F.struct(F.lit(last["finish"]), F.lit(last["skey"]), F.lit(last["key"]), edge_id, F.lit(last["size"]).cast("long"), F.lit(last["pass"]))
             taken[k] = (bin_k < edge["bin"]) | ((bin_k == edge["bin"]) & inside)
     copies = F.when(F.col("size") > 0, sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))).otherwise(0)
     out = placed.withColumn("copies", copies)
