@@ -223,6 +223,17 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df``, all columns, whose language is known with a posterior of ``least`` at least; no shuffle."""
+    where = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([lang != "und" and p >= least for lang, p in model.of(b.column(where))], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fit(docs: DataFrame) -> Model:
     """Learns from text and lang of documents outside of the held-out fold alone."""
     known = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

@@ -187,6 +187,18 @@ def _merge_ids(of_id: DataFrame, least: DataFrame, scratch: Scratch) -> DataFram
     return least.join(joined, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates, and one of rows of one id; rows of a null id stay."""
+    found = near_duplicates(df, id_col, text_col)
+    counts = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
+    if counts[0] != counts[1]:
+        named = df.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        df = named.unionByName(df.filter(F.col(id_col).isNull()))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
