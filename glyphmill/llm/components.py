@@ -13,13 +13,15 @@ from .common import Scratch
 HOT_DEGREE, HOT_ROWS = 50_000, 500_000
 
 
-def _to_least(edges: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
+def _to_least(edges: DataFrame, least: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame:
     """(u, v, m): edges with the least of each u."""
-    hot = least.filter(F.col("n") > HOT_DEGREE).select("u", "m")
-    if 0 < hot.count() <= HOT_ROWS:
-        there = edges.join(F.broadcast(hot), "u")
-        rest = edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-        return there.unionByName(rest)
+    if n_edges > HOT_DEGREE:  # else no node can be hot
+        least = scratch.cut(least)
+        hot = least.filter(F.col("n") > HOT_DEGREE).select("u", "m")
+        if 0 < hot.count() <= HOT_ROWS:
+            there = edges.join(F.broadcast(hot), "u")
+            rest = edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+            return there.unionByName(rest)
     return edges.join(least.select("u", "m"), "u")
 
 
@@ -27,28 +29,29 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     """(id, component) of every id in ``edges`` (a, b): component is the smallest id that edges reach.
 
     Loops, repeated edges and either order of the ends are allowed; edges with a null end are not edges.
-    An empty table gives an empty one.
+    An empty table gives an empty one. It has converged when every node has one edge, to a node without any.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL")
-    loops = pairs.filter("u = v").select("u").distinct()
-    now = scratch.cut(pairs.filter("u <> v").distinct())
-    loops = scratch.cut(loops)
-    seen = None
-    for _ in range(rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = scratch.cut(pairs)
+    now = pairs.filter("u <> v")
+    n = now.count()
+    for turn in range(rounds + 1):
+        if not n or turn and not now.groupBy("u").count().filter("count > 1").limit(1).count() and not now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
             break
-        seen = mark
+        if turn == rounds:
+            raise RuntimeError(f"no fixed point within {rounds} rounds of stars")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = scratch.cut(_to_least(both.filter("v > u"), least, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        scratch.drop(now, least)
-        least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = _to_least(large, least, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = scratch.cut(_to_least(both.filter("v > u"), least, 2 * n, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _to_least(large, least, 2 * n, scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        if turn:
+            scratch.drop(now)
         now = scratch.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(large, least)
-    else:
-        raise RuntimeError(f"no fixed point within {rounds} rounds of stars")
+        scratch.drop(large)
+        n = now.count()
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    out = stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-    return scratch.cut(out.unionByName(loops.select(F.col("u").alias("id"), F.col("u").alias("component")).join(out.select("id"), "id", "left_anti")))
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    loops = pairs.filter("u = v").select(F.col("u").alias("id"))
+    alone = loops.join(stars.select("id").unionByName(roots.select("id")), "id", "left_anti").select("id", F.col("id").alias("component"))
+    return scratch.cut(stars.unionByName(roots).unionByName(alone))

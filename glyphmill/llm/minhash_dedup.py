@@ -7,9 +7,11 @@ in no common bucket with a chance of (1 - 0.75^4)^32 < 6e-6.
 
 Buckets are not expanded into pairs. Each bucket links its members to one center, checked on
 signatures and then on full sets; components of the confirmed links follow. Only buckets that
-still hold more than one component go on: first with other centers, then, when few pairs are
-left, with every pair of members of different components. So each pair that shares a bucket is
-either in one component already or was compared itself.
+still hold more than one component go on. There signatures are held against each other as
+matrices, a bounded block of members against another in one task, and only pairs of different
+components whose signatures agree come out, the closest of two components first. So each
+pair that shares a bucket is in one component already, or differs in its signature, or was
+compared in full.
 """
 
 from __future__ import annotations
@@ -29,12 +31,11 @@ SHINGLE = 5
 HASHES, BANDS = 128, 32
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Signatures that agree in fewer than half of the minima are not compared in full: a pair of
-#: similarity 0.75 does so with a chance below 1e-8.
-LEAST_EQUAL = HASHES // 2
-#: Pairs left, per representative, with which buckets are compared pair by pair.
-FEW_PAIRS = 8
-CENTER_ROUNDS = 6
+#: Signatures that agree in fewer minima are not compared in full: a pair of similarity 0.75 does so
+#: with a chance below 1e-7.
+LEAST_EQUAL = 68
+#: Members of a bucket that a block holds; pairs of two components that a bucket gives at first.
+BLOCK, CLOSEST = 2048, 8
 #: Ids (8 bytes each) up to which the set of texts to fetch is broadcast; above, it is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -92,6 +93,40 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(keep)
 
 
+def _across(closest: int | None):
+    """Function of a block pair's members (id, c, block, sig): (a, b, more) of different components with agreeing
+    signatures, the ``closest`` of two components; ``more`` marks that some were left for later."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, c, block = (t.column(k).to_numpy() for k in ("id", "c", "block"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+        low = int(t.column("i")[0].as_py())
+        first = np.flatnonzero(block == low)
+        second = first if t.column("j")[0].as_py() == low else np.flatnonzero(block != low)
+        found = []
+        other = np.ascontiguousarray(sig[second].T)
+        for k in range(0, len(first), 512):
+            part = first[k : k + 512]
+            agree = np.zeros((len(part), len(second)), np.uint8)
+            for h in range(HASHES):
+                agree += sig[part, h][:, None] == other[h]
+            x, y = np.nonzero((agree >= LEAST_EQUAL) & (c[part][:, None] != c[second]) & ((ids[part][:, None] < ids[second]) | (first is not second)))
+            found.append(np.stack([part[x], second[y], agree[x, y].astype(np.int64)]))
+        x, y, agree = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        more = np.zeros(len(x), bool)
+        if closest is not None and len(x):
+            left, right = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+            order = np.lexsort((ids[y], ids[x], -agree, right, left))
+            x, y, left, right = x[order], y[order], left[order], right[order]
+            head = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+            rank = np.arange(len(x)) - np.repeat(head, np.diff(np.append(head, len(x))))
+            x, y, more = x[rank < closest], y[rank < closest], np.full(int((rank < closest).sum()), bool((rank >= closest).any()))
+        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    return run
+
+
 class _Verifier:
     """Compares pairs of representatives, each once, and gathers the confirmed links."""
 
@@ -100,32 +135,26 @@ class _Verifier:
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
 
-    def _both(self, old: DataFrame | None, new: DataFrame) -> DataFrame:
-        if old is None:
-            return new
-        return self.scratch.cut(old.unionByName(new))
-
-    def add(self, pairs: DataFrame) -> int:
-        """Compare (a, b), a < b; gives the number of new links."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self.scratch.cut(pairs)
-        self.tested = self._both(self.tested, pairs)
+    def agreeing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose signatures agree often enough."""
         sig = self.reps.select("id", "sig")
         signed = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        close = self.scratch.cut(signed.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"))
-        ids = self.scratch.cut(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct())
+        return signed.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
+
+    def add(self, pairs: DataFrame) -> int:
+        """Compare full sets of (a, b), written and distinct, a < b; gives the number of new links."""
+        ids = self.scratch.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        full = self.scratch.cut(self.texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows, "id long, s array<long>").dropDuplicates(["id"]))
-        pair = close.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        full = self.scratch.cut(self.texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows, "id long, s array<long>"))
+        pair = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
         pair = pair.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
+        # an id on rows of several texts gives a pair several times: any of them links
         links = self.scratch.cut(pair.filter(F.col("shared") * 100 >= PERCENT * (F.col("total") - F.col("shared"))).select("a", "b"))
-        self.scratch.drop(close, ids, full)
-        n = links.count()
-        self.links = self._both(self.links, links)
-        return n
+        self.scratch.drop(ids, full)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        return links.count()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,26 +178,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = scratch.cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).filter("n > 1").select("key", "center"))
     buckets = scratch.cut(bands.join(groups, "key").select("key", "id", "center").distinct())
     check = _Verifier(texts, reps.select("id", "sig"), scratch)
-    check.add(buckets.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")))
-    n_reps = reps.count()
-    for turn in range(CENTER_ROUNDS + 1):
-        found = components(check.links, scratch)
-        placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        per = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("center"))
-        open_keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"), F.max_by(F.struct("center", "c"), F.struct("n", "c")).alias("m")).filter("parts > 1")
-        open_keys = scratch.cut(open_keys.select("key", F.col("m.center").alias("center"), F.col("m.c").alias("center_c"), ((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("pairs")))
-        left = open_keys.agg(F.sum("pairs").alias("p")).first()["p"]
-        if not left:
-            break
-        if left <= FEW_PAIRS * n_reps or turn == CENTER_ROUNDS:
-            rest = scratch.cut(placed.join(open_keys.select("key"), "key"))
-            x, y = rest.toDF("key", "a", "ca"), rest.toDF("key", "b", "cb")
-            check.add(x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b"))
+    stars = buckets.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    check.add(scratch.cut(check.agreeing(stars)))
+    found = components(check.links, scratch)
+    for closest in (CLOSEST, 4 * CLOSEST, None):
+        placed = scratch.cut(buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        per_key = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
+        blocks = per_key.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+        rows = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("nb")).cast("int"))
+        # a block meets itself and every other one of its bucket
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+        rows = rows.join(reps.select("id", "sig"), "id").select("key", "i", "j", "id", "c", "block", "sig")
+        close = scratch.cut(rows.groupBy("key", "i", "j").applyInArrow(_across(closest), "a long, b long, more boolean"))
+        pairs = scratch.cut(close.select("a", "b").distinct().join(check.tested, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count() and check.add(pairs):
             found = components(check.links, scratch)
+        if not close.filter("more").limit(1).count():
             break
-        # another center: a member of the largest component that a bucket holds, against all others
-        star = placed.join(open_keys, "key").filter("c <> center_c").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
-        check.add(star)
     links = found.select(F.col("id").alias("rep"), "component")
     of_id = classes.join(links, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     # an id with several texts, or a class that links with another's: once more over the few
