@@ -154,15 +154,22 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
-    """(id, text, label) of rows that may be learned from: labelled 0 or 1, not held out."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_label: int) -> list:
+    """(id, text, label) of a bounded sample of rows that may be learned from: labelled 0 or 1, not held out.
+
+    The sample is drawn from the labels alone; its ids, bounded in number, are broadcast, so that no text is shuffled.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.filter(~held_out(F.col("id"), folds, fold) & (F.length("text") <= LONGEST_FIT_TEXT)).join(known, "id")
+    picked = bounded(known.filter(~held_out(F.col("id"), folds, fold)), "label", per_label, F.col("id"))
+    if not picked:
+        return []
+    ids = docs.sparkSession.createDataFrame(picked, known.schema)
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= LONGEST_FIT_TEXT)
+    return sorted(rows.join(F.broadcast(ids), "id").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = bounded(labelled(docs, labels, "quality", 3, 1), "label", FIT_ROWS, F.col("id"))
+    sample = labelled(docs, labels, "quality", 3, 1, FIT_ROWS)
     return Model([r["text"] for r in sample], [r["label"] for r in sample])
 
 

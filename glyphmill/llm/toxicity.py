@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .fit import bounded
 from .quality import labelled, logistic
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
@@ -176,7 +175,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = bounded(labelled(docs, labels, "toxic", 4, 2), "label", FIT_ROWS, F.col("id"))
+    sample = labelled(docs, labels, "toxic", 4, 2, FIT_ROWS)
     return Model([r["text"] for r in sample], [r["label"] for r in sample])
 
 
