@@ -307,8 +307,8 @@ def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
-l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x, g y WHERE x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= {COSINE}),
+g AS MATERIALIZED (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x, g y WHERE x.vec_id <> y.vec_id AND CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= {COSINE} ELSE false END),
 r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
 c AS (SELECT id, min(root) AS component FROM r GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
