@@ -9,7 +9,7 @@ Buckets are not expanded into pairs. Each bucket links its members to one center
 signatures and then on full sets; components of the confirmed links follow. Only buckets that
 still hold more than one component go on. There signatures are held against each other as
 matrices, a bounded block of members against another in one task, and only pairs of different
-components whose signatures agree come out, the closest of two components first. So each
+components whose signatures agree come out, each member's closest first, all of what is then left last. So each
 pair that shares a bucket is in one component already, or differs in its signature, or was
 compared in full.
 """
@@ -32,10 +32,10 @@ HASHES, BANDS = 128, 32
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Signatures that agree in fewer minima are not compared in full: a pair of similarity 0.75 does so
-#: with a chance below 1e-7.
-LEAST_EQUAL = 68
-#: Members of a bucket that a block holds; pairs of two components that a bucket gives at first.
-BLOCK, CLOSEST = 2048, 8
+#: with a chance below 3e-6.
+LEAST_EQUAL = 72
+#: Members of a bucket that a block holds; partners that a member has at first.
+BLOCK, CLOSEST = 2048, 1
 #: Ids (8 bytes each) up to which the set of texts to fetch is broadcast; above, it is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -95,7 +95,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(closest: int | None):
     """Function of a block pair's members (id, c, block, sig): (a, b, more) of different components with agreeing
-    signatures, the ``closest`` of two components; ``more`` marks that some were left for later."""
+    signatures, of each member the ``closest``; ``more`` marks that some were left for later."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, c, block = (t.column(k).to_numpy() for k in ("id", "c", "block"))
@@ -115,12 +115,14 @@ def _across(closest: int | None):
         x, y, agree = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
         more = np.zeros(len(x), bool)
         if closest is not None and len(x):
-            left, right = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
-            order = np.lexsort((ids[y], ids[x], -agree, right, left))
-            x, y, left, right = x[order], y[order], left[order], right[order]
-            head = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-            rank = np.arange(len(x)) - np.repeat(head, np.diff(np.append(head, len(x))))
-            x, y, more = x[rank < closest], y[rank < closest], np.full(int((rank < closest).sum()), bool((rank >= closest).any()))
+            # from both ends: a pair stays if it is among the closest of either
+            owner, other = np.concatenate([x, y]), np.concatenate([y, x])
+            order = np.lexsort((ids[other], -np.concatenate([agree, agree]), owner))
+            owner = owner[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            keep = np.unique(order[rank < closest] % len(x))
+            more = np.full(len(keep), len(keep) < len(x))
+            x, y = x[keep], y[keep]
         a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
