@@ -20,7 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 HEADLINE = (
     "pretoken_counts", "bpe_pair_counts", "bpe_best_pair", "bpe_train_full", "bpe_encode_k", "bpe_encode_arrow", "bpe_decode_roundtrip", "token_frequency",
-    "corpus_compression", "compression_by_lang", "longest_tokens", "token_char_profile", "blank_line_documents", "linear", "softmax", "attention", "lm_windows",
+    "corpus_compression", "compression_by_lang", "longest_tokens", "token_char_profile", "blank_line_documents", "linear", "softmax", "attention",
 )
 
 

@@ -171,6 +171,28 @@ def decode_long(ids: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> Dat
     return joined.select(id_col, T.to_text(F.unhex("h")).alias("text"))
 
 
+#: Tokens of a vocabulary that is written into the plan as a literal; larger ones are looked up in Arrow batches.
+LITERAL_VOCABULARY = 4096
+
+
+def decode_arrays(df: DataFrame, tok: Tokenizer, ids_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
+    """``df`` with the text of each row's ids, in place: no shuffle. Ids that are no tokens are skipped."""
+    top = max(tok.vocab, default=-1)
+    if top < LITERAL_VOCABULARY:
+        table = F.array(*(F.lit(tok.vocab[i].hex()) if i in tok.vocab else F.lit(None).cast("string") for i in range(top + 1)))
+        return df.withColumn(out_col, T.to_text(F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), ""))))
+    from pyspark.sql import types as ST
+
+    where = df.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [decode_ids(x, tok) if x is not None else None for x in b.column(where).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, out_col])
+
+    return df.mapInArrow(run, ST.StructType([*df.schema.fields, ST.StructField(out_col, ST.StringType())]))
+
+
 def unknown_ids(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(vocab.select("token_id")), "token_id", "left_anti")
 

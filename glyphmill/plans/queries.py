@@ -176,12 +176,16 @@ def bpe_encode_special(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(h) AS BIGINT) AS n_tokens, decode(unhex(array_to_string(h, ''))) = text AS same, abs(length(decode(unhex(array_to_string(h, '')))) - length(text)) < 0.01 * length(text) AS near FROM (SELECT doc_id, text, {O.encoded('text', MERGES)} AS h FROM documents)")
 def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok, docs = tokenizer(), table(spark, sf_dir)
-    ids = C.encode_long(docs, tok)
-    decoded = C.decode_long(ids, C.vocab_rows(spark, tok)).withColumnRenamed("text", "decoded")
-    n = ids.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    tok = tokenizer()
+    done = C.decode_arrays(C.encode_arrays(table(spark, sf_dir).select("doc_id", "text"), tok, form="chain"), tok)
     near = F.abs(F.length("decoded") - F.length("text")) < 0.01 * F.length("text")
-    return docs.select("doc_id", "text").join(decoded, "doc_id").join(n, "doc_id").select("doc_id", "n_tokens", (F.col("decoded") == F.col("text")).alias("same"), near.alias("near"))
+    return done.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("same"), near.alias("near"))
+
+
+@query(f"SELECT doc_id, decode(unhex(array_to_string(h, ''))) AS text FROM ({ENCODED}) WHERE len(h) > 0")
+def bpe_decode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From long form: ids in order of their place, joined with the vocabulary."""
+    return C.decode_long(long_ids(spark, sf_dir), C.vocab_rows(spark, tokenizer()))
 
 
 @query(f"SELECT token_id, token_hex, token_id < 128 OR token_id >= 256 AS whole FROM ({VOCAB})")

@@ -87,6 +87,8 @@ def test_forms_agree_and_round_trip(docs, form):
     for r in C.encode_arrays(docs, tok, form=form).collect():
         assert r.tokens == C.encode_text(r.text, tok)
         assert C.decode_ids(r.tokens, tok) == r.text and r.tokens.count(256) == r.text.count(END)
+    for r in C.decode_arrays(C.encode_arrays(docs, tok, form=form), tok).collect():
+        assert r.decoded == r.text
     long = C.encode_long(docs, tok, form=form)
     back = {r.doc_id: r.text for r in C.decode_long(long, C.vocab_rows(docs.sparkSession, tok)).collect()}
     assert back == {i: t for i, t in enumerate(TEXTS) if t}
@@ -115,6 +117,14 @@ def test_decode_of_odd_ids():
     assert C.decode_ids([0xC3], tok) == "�" and C.decode_ids([0xE6, 0xBC, 65], tok) == b"\xe6\xbcA".decode(errors="replace")
 
 
+@pytest.mark.parametrize("limit", [0, 4096])
+def test_decode_arrays_skips_unknown(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "LITERAL_VOCABULARY", limit)
+    tok = C.Tokenizer({i: bytes([i]) for i in range(256)}, [])
+    df = spark.createDataFrame([([72, 9999, 105],), ([],), ([0xE6, 0xBC, 65],)], "tokens array<int>")
+    assert [r.decoded for r in C.decode_arrays(df, tok).collect()] == ["Hi", "", b"\xe6\xbcA".decode(errors="replace")]
+
+
 def test_equal_tokens_last_id_counts():
     assert C.Tokenizer({0: b"a", 1: b"a"}, []).ids == {b"a": 1}
 
