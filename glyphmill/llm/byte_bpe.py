@@ -32,7 +32,7 @@ from .textscan import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Merged slices that a Python worker remembers before it starts afresh.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 #: Bytes of text scanned at a time, so that the arrays stay in a core's cache.
 CHUNK = 1 << 18
 
