@@ -7,11 +7,12 @@ in no common bucket with a chance of (1 - 0.75^4)^32 < 6e-6.
 
 Buckets are not expanded into pairs. Each bucket links its members to one center, checked on
 signatures and then on full sets; components of the confirmed links follow. Only buckets that
-still hold more than one component go on. There signatures are held against each other as
-matrices, a bounded block of members against another in one task, and only pairs of different
-components whose signatures agree come out, each member's closest first, all of what is then left last. So each
-pair that shares a bucket is in one component already, or differs in its signature, or was
-compared in full.
+still hold more than one component go on, in blocks of bounded members and shingles, a block
+against another in one task. There signatures are held against each other as matrices; members
+with a partner of another component come back once more with their full sets, and the task
+gives of the links that it confirms a spanning forest: no more rows than members. A pair is
+compared in the first band that it shares. So each pair that shares a bucket is in one
+component already, or differs in its signature, or was compared in full.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ PERCENT = 75
 #: Signatures that agree in fewer minima are not compared in full: a pair of similarity 0.75 does so
 #: with a chance below 3e-6.
 LEAST_EQUAL = 72
-#: Members of a bucket that a block holds; partners that a member has at first.
-BLOCK, CLOSEST = 2048, 1
+#: Members and shingles of a bucket that a block holds on average (at least one whole text).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Ids (8 bytes each) up to which the set of texts to fetch is broadcast; above, it is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -93,70 +94,108 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(keep)
 
 
-def _across(closest: int | None):
-    """Function of a block pair's members (id, c, block, sig): (a, b, more) of different components with agreeing
-    signatures, of each member the ``closest``; ``more`` marks that some were left for later."""
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, c, block = (t.column(k).to_numpy() for k in ("id", "c", "block"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
-        low = int(t.column("i")[0].as_py())
-        first = np.flatnonzero(block == low)
-        second = first if t.column("j")[0].as_py() == low else np.flatnonzero(block != low)
-        found = []
-        other = np.ascontiguousarray(sig[second].T)
-        for k in range(0, len(first), 512):
-            part = first[k : k + 512]
-            agree = np.zeros((len(part), len(second)), np.uint8)
-            for h in range(HASHES):
-                agree += sig[part, h][:, None] == other[h]
-            x, y = np.nonzero((agree >= LEAST_EQUAL) & (c[part][:, None] != c[second]) & ((ids[part][:, None] < ids[second]) | (first is not second)))
-            found.append(np.stack([part[x], second[y], agree[x, y].astype(np.int64)]))
-        x, y, agree = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-        more = np.zeros(len(x), bool)
-        if closest is not None and len(x):
-            # from both ends: a pair stays if it is among the closest of either
-            owner, other = np.concatenate([x, y]), np.concatenate([y, x])
-            order = np.lexsort((ids[other], -np.concatenate([agree, agree]), owner))
-            owner = owner[order]
-            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            keep = np.unique(order[rank < closest] % len(x))
-            more = np.full(len(keep), len(keep) < len(x))
-            x, y = x[keep], y[keep]
-        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
-
-    return run
-
-
-class _Verifier:
-    """Compares pairs of representatives, each once, and gathers the confirmed links."""
-
-    def __init__(self, texts: DataFrame, reps: DataFrame, scratch: Scratch):
-        self.texts, self.reps, self.scratch = texts, reps, scratch
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures agree often enough."""
-        sig = self.reps.select("id", "sig")
-        signed = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        return signed.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
-
-    def add(self, pairs: DataFrame) -> int:
-        """Compare full sets of (a, b), written and distinct, a < b; gives the number of new links."""
-        ids = self.scratch.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        full = self.scratch.cut(self.texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows, "id long, s array<long>"))
-        pair = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y")).cast("long")
-        pair = pair.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
-        # an id on rows of several texts gives a pair several times: any of them links
-        links = self.scratch.cut(pair.filter(F.col("shared") * 100 >= PERCENT * (F.col("total") - F.col("shared"))).select("a", "b"))
-        self.scratch.drop(ids, full)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
-        return links.count()
+_MEMBER = "key long, i int, j int, id long, n long, band int, c long, block int, sig binary"
+
+
+def _candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y) of a block pair's members to compare in full, in order of x: of different components, with sizes
+    that allow a link, agreeing signatures, and no common band before this one."""
+    ids, c, n, block = (t.column(k).to_numpy() for k in ("id", "c", "n", "block"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+    low, high, band = (int(t.column(k)[0].as_py()) for k in ("i", "j", "band"))
+    first, rows = np.flatnonzero(block == low), HASHES // BANDS
+    second = first if low == high else np.flatnonzero(block == high)
+    other = np.ascontiguousarray(sig[second].T)
+    for k in range(0, len(first), 512):
+        part = first[k : k + 512]
+        agree = np.zeros((len(part), len(second)), np.uint8)
+        fits = (c[part][:, None] != c[second]) & (np.minimum(n[part][:, None], n[second]) * 100 >= np.maximum(n[part][:, None], n[second]) * PERCENT)
+        if low == high:
+            fits &= ids[part][:, None] < ids[second]
+        for b in range(BANDS):
+            equal = np.ones(agree.shape, bool)
+            for h in range(b * rows, (b + 1) * rows):
+                same = sig[part, h][:, None] == other[h]
+                agree += same
+                equal &= same
+            if b < band:
+                fits &= ~equal
+        x, y = np.nonzero(fits & (agree >= LEAST_EQUAL))
+        yield part[x], second[y]
+
+
+def _with_partner(t: pa.Table) -> pa.Table:
+    """The members that have a candidate."""
+    hit = np.zeros(t.num_rows, bool)
+    for x, y in _candidates(t):
+        hit[x] = hit[y] = True
+    return t.filter(pa.array(hit))
+
+
+def _forest(t: pa.Table) -> pa.Table:
+    """Links (a, b) of candidates confirmed on full sets (s), as far as they join components."""
+    ids = t.column("id").to_numpy()
+    _, label = np.unique(t.column("c").to_numpy(), return_inverse=True)
+    lists = t.column("s").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    size, mark = np.diff(off), np.zeros(len(code) and int(code.max()) + 1, np.int32)
+    out: list[tuple[int, int]] = []
+    for xs, ys in _candidates(t):
+        each, at = np.unique(xs, return_index=True)
+        for x, y in zip(each.tolist(), np.split(ys, at[1:]), strict=True):
+            y = y[label[y] != label[x]]
+            if not len(y):
+                continue
+            mine = code[off[x] : off[x + 1]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[np.concatenate([code[off[k] : off[k + 1]] for k in y])], np.cumsum(size[y]) - size[y]).astype(np.int64)
+            mark[mine] = 0
+            linked = y[shared * 100 >= PERCENT * (size[x] + size[y] - shared)]
+            joined, one = np.unique(label[linked], return_index=True)
+            out += [(int(ids[x]), int(ids[k])) for k in linked[one]]
+            label[np.isin(label, joined)] = label[x]
+    return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+
+def _full_sets(texts: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written (id, s) of the texts whose id is in ``ids``, itself written and distinct."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return scratch.cut(texts.join(wanted, "id", "left_semi").mapInArrow(_set_rows, "id long, s array<long>"))
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose signatures agree often enough and whose full sets confirm the link."""
+    sig = reps.select("id", "sig")
+    signed = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    pairs = scratch.cut(signed.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long").distinct())
+    ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    full = _full_sets(texts, ids, scratch)
+    pair = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    pair = pair.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
+    # an id on rows of several texts gives a pair several times: any of them links
+    links = scratch.cut(pair.filter(F.col("shared") * 100 >= PERCENT * (F.col("total") - F.col("shared"))).select("a", "b"))
+    scratch.drop(pairs, ids, full)
+    return links
+
+
+def _bucket_links(buckets: DataFrame, found: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that join components inside of buckets."""
+    placed = scratch.cut(buckets.join(found, "id", "left").select("key", "id", "n", "band", F.coalesce("component", "id").alias("c")))
+    per_key = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("low <> high")
+    blocks = per_key.select("key", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    rows = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("nb")).cast("int"))
+    # a block meets itself and every other one of its bucket
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    rows = rows.join(reps.select("id", "n", "sig"), ["id", "n"]).select("key", "i", "j", "id", "n", "band", "c", "block", "sig")
+    members = scratch.cut(rows.groupBy("key", "i", "j").applyInArrow(_with_partner, _MEMBER))
+    ids = scratch.cut(members.select("id").distinct())
+    full = _full_sets(texts, ids, scratch).withColumn("n", F.size("s").cast("long"))
+    links = scratch.cut(members.join(full, ["id", "n"]).groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"))
+    scratch.drop(placed, members, ids)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,31 +211,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.cut(texts.mapInArrow(_signed, "id long, n long, high long, low long, sig binary"))
     alive = signed.filter("n > 0 AND id IS NOT NULL")
-    reps = scratch.cut(alive.groupBy("high", "low").agg(F.min(F.struct("id", "sig")).alias("r")).select("high", "low", "r.id", "r.sig"))
+    reps = scratch.cut(alive.groupBy("high", "low").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("high", "low", "r.id", "r.n", "r.sig"))
     classes = alive.select("id", "high", "low").join(reps.select(F.col("id").alias("rep"), "high", "low"), ["high", "low"]).select("id", "rep").distinct()
 
     rows = HASHES // BANDS * 4
-    bands = reps.select("id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {rows} + 1, {rows})))")).alias("key"))
-    groups = scratch.cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).filter("n > 1").select("key", "center"))
-    buckets = scratch.cut(bands.join(groups, "key").select("key", "id", "center").distinct())
-    check = _Verifier(texts, reps.select("id", "sig"), scratch)
+    bands = reps.select("id", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {rows} + 1, {rows})))")).alias("band", "key"))
+    groups = scratch.cut(bands.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("center")).filter("m > 1").select("key", "center"))
+    buckets = scratch.cut(bands.join(groups, "key").select("key", "id", "n", "band", "center").distinct())
     stars = buckets.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    check.add(scratch.cut(check.agreeing(stars)))
-    found = components(check.links, scratch)
-    for closest in (CLOSEST, 4 * CLOSEST, None):
-        placed = scratch.cut(buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        per_key = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low <> high")
-        blocks = per_key.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-        rows = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("nb")).cast("int"))
-        # a block meets itself and every other one of its bucket
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-        rows = rows.join(reps.select("id", "sig"), "id").select("key", "i", "j", "id", "c", "block", "sig")
-        close = scratch.cut(rows.groupBy("key", "i", "j").applyInArrow(_across(closest), "a long, b long, more boolean"))
-        pairs = scratch.cut(close.select("a", "b").distinct().join(check.tested, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count() and check.add(pairs):
-            found = components(check.links, scratch)
-        if not close.filter("more").limit(1).count():
-            break
+    confirmed = _star_links(stars, texts, reps, scratch)
+    more = _bucket_links(buckets, components(confirmed, scratch), texts, reps, scratch)
+    found = components(confirmed.unionByName(more), scratch)
     links = found.select(F.col("id").alias("rep"), "component")
     of_id = classes.join(links, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     # an id with several texts, or a class that links with another's: once more over the few

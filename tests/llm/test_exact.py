@@ -80,7 +80,6 @@ def test_op5_against_sql(spark, tmp_path):
 def test_op5_in_small_blocks(spark, tmp_path, monkeypatch):
     """Many texts that share buckets but do not all link: every block pair is compared."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
-    monkeypatch.setattr(minhash_dedup, "CLOSEST", 1)
     rng = random.Random(8)
     base = prose(rng, 90).split()
     texts = []
