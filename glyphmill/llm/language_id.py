@@ -34,6 +34,10 @@ ROUNDS, ADD = 4, 0.1
 LONGEST, CHUNK = 16, 40
 #: Keeps products of piece probabilities near 1; taken back in logs.
 GAIN = 12.0
+#: Bytes of different words that one lattice holds, so that memory does not grow with a text.
+LATTICE_BYTES = 1 << 16
+#: Rows that are filtered, and so copied, at a time.
+SLICE_ROWS = 1000
 _TABLE_BITS = 18
 
 
@@ -178,6 +182,17 @@ class Model:
             spelled[:, g] = prob / prob.sum()
         self.scaled = spelled * gain[:, None]
 
+    def _scores(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+        """Log probability of each word in each language, over lattices of bounded size."""
+        stop = np.cumsum(end - start + 1)
+        cuts = np.unique(np.append(np.searchsorted(stop, np.arange(0, stop[-1], LATTICE_BYTES)), len(stop)))
+        out = np.empty((len(start), self.scaled.shape[1]))
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            spelled = _spelled(raw, start[i:j], end[i:j])
+            lattice = Lattice(*spelled, vocabulary)
+            out[i:j] = np.log(lattice.forward(self.scaled)[lattice.last]) - ((spelled[2] - spelled[1]) * np.log(GAIN))[:, None]
+        return out
+
     def of(self, col: pa.Array) -> Iterator[tuple[str, float]]:
         """(language, its posterior under equal priors) of each text; ``und`` and 0 without a letter or a language."""
         vocabulary = pieces()
@@ -187,9 +202,7 @@ class Model:
             total = np.zeros((hi - lo, max(1, len(self.langs))))
             if len(start) and self.langs:
                 _, one, back = np.unique(slice_hash(prefix_hash(small), start, end), return_index=True, return_inverse=True)
-                spelled = _spelled(small, start[one], end[one])
-                lattice = Lattice(*spelled, vocabulary)
-                score = np.log(lattice.forward(self.scaled)[lattice.last]) - ((spelled[2] - spelled[1]) * np.log(GAIN))[:, None]
+                score = self._scores(small, start[one], end[one], vocabulary)
                 text = np.repeat(np.arange(hi - lo), np.diff(first))
                 for g in range(total.shape[1]):
                     total[:, g] = np.bincount(text, score[back, g], hi - lo)
@@ -228,7 +241,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             yield b.filter(pa.array([lang != "und" and p >= least for lang, p in model.of(b.column(where))], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
