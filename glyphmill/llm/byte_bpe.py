@@ -317,11 +317,12 @@ def _place(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, decoded_col: str | None = None) -> DataFrame:
     """(``id_col``, ids BINARY) for each row: packed little-endian unsigned 32-bit ids of the whole text.
 
-    A null or empty text gives empty ids; a null id is kept; other columns, whatever their
-    names, are not read; repeated rows give repeated rows; an empty table gives an empty one.
+    With ``decoded_col`` a column of that name follows, the bytes that the packed ids decode to, as ``decode``
+    gives them, made in the same Python worker. A null or empty text gives empty ids; a null id is kept; other
+    columns, whatever their names, are not read; repeated rows give repeated rows; an empty table gives an empty one.
     ``vocabulary`` is a file of public_tokenizers or a path that every machine has.
     """
     kind = df.schema[id_col].dataType
@@ -330,19 +331,22 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         memo = Memo(_ranks(_place(vocabulary)), _pairs(_place(vocabulary)))
         take = memo.__getitem__
         for batch in batches:
-            out: list[bytes] = []
-            for _, _, raw, off in chunks(batch.column(1), CHUNK):
+            for lo, hi, raw, off in chunks(batch.column(1), CHUNK):
                 start = boundaries(raw, off)
                 text, cut = raw.tobytes(), np.append(start, len(raw))
                 first = np.searchsorted(start, off).tolist()
                 cut = cut.tolist()
                 pieces = [text[i:j] for i, j in zip(cut, cut[1:], strict=False)]
                 memo.learn(pieces)
-                out += [b"".join(map(take, pieces[a:b])) for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "ids"])
+                ids = [b"".join(map(take, pieces[a:b])) for a, b in zip(first, first[1:], strict=False)]
+                out = {"id": batch.column(0).slice(lo, hi - lo), "ids": pa.array(ids, pa.binary())}
+                if decoded_col is not None:
+                    out["decoded"] = pa.array([decode_ids(np.frombuffer(x, "<u4"), _place(vocabulary)) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    got = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, ids binary")
-    return got.withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = [id_col, "ids"] + ([] if decoded_col is None else [decoded_col])
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, ids binary" + ("" if decoded_col is None else ", decoded binary")).toDF(*names)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -360,5 +364,5 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents."""
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = encode(table(spark, sf_dir, "documents"), decoded_col="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
