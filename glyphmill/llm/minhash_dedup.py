@@ -45,13 +45,12 @@ _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.ui
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def sets(col: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def sets(col: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Sorted distinct shingle hashes of each text, with the first row of a chunk of texts."""
     for lo, hi, raw, off in chunks(col, 1 << 19):
         words, _, _, first = word_hashes(raw, off)
         runs, at = shingle_hashes(words, first, SHINGLE)
-        for d in range(hi - lo):
-            yield np.unique(runs[at[d] : at[d + 1]])
+        yield lo, [np.unique(runs[at[d] : at[d + 1]]) for d in range(hi - lo)]
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -66,22 +65,20 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, high, low, sigs = [], [], [], []
-        for s in sets(batch.column(1)):
-            sizes.append(len(s))
-            high.append(mix(s).sum(dtype=np.uint64))
-            low.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            sigs.append(minima(s).tobytes() if len(s) else None)
-        longs = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (high, low)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *longs, pa.array(sigs, pa.binary())], names=["id", "n", "high", "low", "sig"])
+        for lo, found in sets(batch.column(1)):
+            high = [mix(s).sum(dtype=np.uint64) for s in found]
+            low = [mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in found]
+            longs = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in ([len(s) for s in found], high, low)]
+            sigs = pa.array([minima(s).tobytes() if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(found)), *longs, sigs], names=["id", "n", "high", "low", "sig"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [s.astype(np.int64) for s in sets(batch.column(1))]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), values)], names=["id", "s"])
+        for lo, found in sets(batch.column(1)):
+            off = np.cumsum([0, *(len(s) for s in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(found).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(found)), lists], names=["id", "s"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
