@@ -100,12 +100,12 @@ class Lattice:
             p.append(number[hit])
         a, b, p = np.concatenate(a), np.concatenate(b), np.concatenate(p)
         word = np.repeat(np.arange(len(start)), end - start)
-        self.word, self.place = word[a], b - start[word[a]]  # end within the word, from 1
-        order = np.lexsort((b, self.place))
+        place = b - start[word[a]]  # end within the word, from 1
+        order = np.lexsort((b, place))
         # an edge runs between nodes; a word of k bytes has k + 1 nodes of its own
-        self.a, self.b, self.p = (a + word[a])[order], (b + word[a])[order], p[order]
-        self.place = self.place[order]
-        self.steps = np.searchsorted(self.place, np.arange(1, int(self.place[-1]) + 2)) if len(p) else np.zeros(1, np.int64)
+        self.a, self.b, self.p = ((x[order]).astype(np.int32) for x in (a + word[a], b + word[a], p))
+        place = place[order]
+        self.steps = np.searchsorted(place, np.arange(1, int(place[-1]) + 2)) if len(p) else np.zeros(1, np.int64)
         self.first, self.last = start + np.arange(len(start)), end + np.arange(len(start))
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
@@ -146,6 +146,13 @@ def _spelled(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return out, stop - size, stop
 
 
+def _slices(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about LATTICE_BYTES bytes."""
+    stop = np.cumsum(end - start + 1)
+    cuts = np.unique(np.append(np.searchsorted(stop, np.arange(0, stop[-1], LATTICE_BYTES)), len(stop))).tolist()
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
 class Model:
     """Scaled piece probabilities of each language."""
 
@@ -167,27 +174,26 @@ class Model:
                 continue
             raw = np.frombuffer(b"".join(counts), np.uint8)
             stop = np.cumsum([len(w) for w in counts])
-            lattice = Lattice(*_spelled(raw, stop - [len(w) for w in counts], stop), vocabulary)
-            n = np.array(list(counts.values()), float)
-            prob = np.bincount(lattice.p, np.ones(len(lattice.p)), vocabulary.size) + ADD
+            start, n = stop - [len(w) for w in counts], np.array(list(counts.values()), float)
+            lattices = [(Lattice(*_spelled(raw, start[i:j], stop[i:j]), vocabulary), n[i:j]) for i, j in _slices(start, stop)]
+            prob = sum(np.bincount(lattice.p, minlength=vocabulary.size) for lattice, _ in lattices) + ADD
             for _ in range(ROUNDS):
                 prob = (prob / prob.sum())[:, None]
                 scaled = prob.copy()
                 scaled[:, 0] *= gain
-                ahead, back = lattice.forward(scaled), lattice.backward(scaled)
-                whole = ahead[lattice.last, 0]
-                word = np.searchsorted(lattice.first, lattice.a, "right") - 1
-                expected = (n / whole)[word] * ahead[lattice.a, 0] * scaled[lattice.p, 0] * back[lattice.b, 0]
-                prob = np.bincount(lattice.p, expected, vocabulary.size) + ADD
+                prob = np.full(vocabulary.size, ADD)
+                for lattice, times in lattices:
+                    ahead, back = lattice.forward(scaled), lattice.backward(scaled)
+                    word = np.searchsorted(lattice.first, lattice.a, "right") - 1
+                    expected = (times / ahead[lattice.last, 0])[word] * ahead[lattice.a, 0] * scaled[lattice.p, 0] * back[lattice.b, 0]
+                    prob += np.bincount(lattice.p, expected, vocabulary.size)
             spelled[:, g] = prob / prob.sum()
         self.scaled = spelled * gain[:, None]
 
     def _scores(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, vocabulary: Pieces) -> np.ndarray:
         """Log probability of each word in each language, over lattices of bounded size."""
-        stop = np.cumsum(end - start + 1)
-        cuts = np.unique(np.append(np.searchsorted(stop, np.arange(0, stop[-1], LATTICE_BYTES)), len(stop)))
         out = np.empty((len(start), self.scaled.shape[1]))
-        for i, j in zip(cuts, cuts[1:], strict=False):
+        for i, j in _slices(start, end):
             spelled = _spelled(raw, start[i:j], end[i:j])
             lattice = Lattice(*spelled, vocabulary)
             out[i:j] = np.log(lattice.forward(self.scaled)[lattice.last]) - ((spelled[2] - spelled[1]) * np.log(GAIN))[:, None]
