@@ -208,3 +208,11 @@ def test_mix_comes_near_targets(spark):
     for _, g in got.groupby("source"):
         assert abs(g.taken.sum() - g.target.iloc[0]) < 200
     assert (got.taken <= 2 * got["size"]).all() and got.taken.sum() <= 1.5 * got["size"].sum()
+
+
+def test_op2_decoding_beside_encoding(spark):
+    """Bytes decoded in the encoding worker are those of ``decode`` and of the text."""
+    docs = odd_documents(spark)
+    beside = sorted(map(tuple, byte_bpe.encode(docs, decoded_col="decoded").collect()), key=repr)
+    assert beside == sorted(map(tuple, byte_bpe.decode(byte_bpe.encode(docs)).collect()), key=repr)
+    assert sorted(bytes(r[2]) for r in beside) == sorted((r["text"] or "").encode() for r in docs.collect())
