@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import nn
 from ..functions import tensors as X
 
+#: Places that go through a model at once.
+PLACES = 4096
+
 
 def get_batch(tokens: np.ndarray, batch: int, context: int, seed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(x, y) of shape (batch, context): starts are uniform over the ``len - context`` places that leave y whole."""
@@ -65,23 +68,31 @@ def self_attention(sequences: DataFrame, weights: dict[str, np.ndarray], heads:
     return sequences.select("seq", "x").mapInArrow(run, "seq long, x array<array<double>>")
 
 
-def logits(sequences: DataFrame, weights: dict[str, np.ndarray], layers: int, heads: int, theta: float = 10000.0) -> DataFrame:
-    """(seq, tokens) to (seq, pos, best_id, best_logit, loss): the model's choice and next-token loss at each place."""
+def logits(sequences: DataFrame, weights: dict[str, np.ndarray], layers: int, heads: int, theta: float = 10000.0, context: int | None = None) -> DataFrame:
+    """(seq, tokens) to (seq, pos, best_id, best_logit, loss): the model's choice and next-token loss at each place.
+
+    With ``context``, tokens beyond so many are not places: the first of them is only the target of the last place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["seq", "pos", "best_id", "best_logit", "loss"]
         for b in batches:
-            rows = []
+            by_length: dict[int, list[tuple[int, list[int]]]] = {}
             for seq, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not ids:
-                    continue
-                ids = np.array(ids)
-                y = nn.language_model(ids, weights, layers, heads, theta)
-                for pos, row in enumerate(y):
-                    nxt = ids[pos + 1] if pos + 1 < len(ids) else None
-                    loss = None if nxt is None else nn.cross_entropy(row[None], np.array([nxt]))
-                    rows.append((seq, pos, int(row.argmax()), float(row.max()), loss))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["seq", "pos", "best_id", "best_logit", "loss"])
+                if ids:
+                    by_length.setdefault(len(ids), []).append((seq, ids))
+            for n, rows in by_length.items():  # sequences of a length go through the model together
+                step = max(1, PLACES // n)
+                for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    ids = np.array([x for _, x in some])
+                    y = nn.language_model(ids[:, :context], weights, layers, heads, theta)
+                    places = y.shape[1]
+                    top = y.max(-1)
+                    known = min(places, n - 1)  # places with a next token
+                    loss = np.full((len(some), places), np.nan)
+                    loss[:, :known] = np.log(np.exp(y[:, :known] - top[:, :known, None]).sum(-1)) + top[:, :known] - np.take_along_axis(y[:, :known], ids[:, 1 : known + 1, None], -1)[..., 0]
+                    unknown = np.tile(np.arange(places) >= known, len(some))
+                    cols = (np.repeat([s for s, _ in some], places), np.tile(np.arange(places, dtype=np.int32), len(some)), y.argmax(-1).ravel().astype(np.int32), top.ravel())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(loss.ravel(), pa.float64(), mask=unknown)], names=names)
 
     return sequences.select("seq", "tokens").mapInArrow(run, "seq long, pos int, best_id int, best_logit double, loss double")
