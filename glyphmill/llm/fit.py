@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +13,23 @@ from pyspark.sql import functions as F
 LONGEST_FIT_TEXT = 1 << 18
 
 
-def bounded(df: DataFrame, label: str, per_label: int, order: Column) -> list:
-    """About ``per_label`` rows (at most 1.5 times that) of each value of ``label``, chosen by a hash of ``order``: the same rows on every run."""
+def bounded(df: DataFrame, label: str, per_label: int, order: Column) -> tuple[list, dict]:
+    """About ``per_label`` rows (at most 1.5 times that) of each value of ``label``, chosen by a hash of ``order``: the same rows on every run.
+
+    Beside them, how many rows of the table one drawn row of each label stands for.
+    """
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not n:
-        return []
+        return [], {}
     parts = 1 << 24
     spot = F.pmod(F.xxhash64(order, F.lit("fit")), F.lit(parts))
     share = F.create_map(*(x for k, c in n.items() for x in (F.lit(k), F.lit(int(parts * min(1.0, per_label / c))))))
     rows = df.filter(spot < share[F.col(label)])
-    return sorted(rows.limit(int(1.5 * per_label * len(n)) + 1).collect())
+    drawn = sorted(rows.limit(int(1.5 * per_label * len(n)) + 1).collect())
+    got = Counter(r[label] for r in drawn)
+    return drawn, {k: n[k] / c for k, c in got.items()}
+
+
+def inverse_rates(labels: Iterable[int], stands_for: dict[int, float] | None) -> np.ndarray:
+    """For each drawn row, how many rows it stands for: a sample drawn by label is weighted back to the table's ratio."""
+    return np.array([(stands_for or {}).get(int(k), 1.0) for k in labels], float)

@@ -257,7 +257,7 @@ def fit(docs: DataFrame) -> Model:
     """Learns from text and lang of documents outside of the held-out fold alone."""
     known = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(~held_out(F.col("id"), 3, 1) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST_FIT_TEXT))
-    sample = bounded(known, "lang", FIT_ROWS, F.col("id"))
+    sample, _ = bounded(known, "lang", FIT_ROWS, F.col("id"))
     return Model([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .fit import LONGEST_FIT_TEXT, bounded
+from .fit import LONGEST_FIT_TEXT, bounded, inverse_rates
 from .textscan import chunks, mix, word_hashes
 
 #: Hash buckets of trigrams, and of shape bigrams behind them.
@@ -96,15 +96,15 @@ def descend(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, turns: int = 60) -> np.ndarray:
-    """Intercept and slopes by ridge Newton steps; ``x`` has a row per example."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 60) -> np.ndarray:
+    """Intercept and slopes by ridge Newton steps; ``x`` has a row per example, ``weight`` how many rows it stands for."""
     a = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(a.shape[1])
     ridge = np.diag([1e-6] + [1e-2] * (a.shape[1] - 1))
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (p - y) + ridge @ b
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(b)), grad)
+        grad = a.T @ (weight * (p - y)) + ridge @ b
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(b)), grad)
         b -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -114,7 +114,8 @@ def logistic(x: np.ndarray, y: np.ndarray, turns: int = 60) -> np.ndarray:
 class Model:
     """Weight of each feature with its naive Bayes scale folded in, squares of the scale, bias, and the logistic map."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
+    def __init__(self, texts: list[str], labels: list[int], stands_for: dict[int, float] | None = None):
+        """``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
         rows = [r for _, _, raw, off in chunks(pa.array(texts, pa.string())) for r in indicators(raw, off)]
         y = np.where(np.array(labels, np.int64) == 1, 1.0, -1.0)
         fold = np.random.default_rng(11).random(len(rows)) < 0.25  # these calibrate only
@@ -129,7 +130,7 @@ class Model:
         w = descend([rows[i] for i in fit], y[fit], np.where(y[fit] == 1, 0.5 / share, 0.5 / (1 - share)), scale)
         self.weight, self.square, self.bias = (w[:-1] * scale).astype(np.float32), (scale**2).astype(np.float32), float(w[-1])
         margins = np.array([self.margin(r) for r in rows])
-        self.map = logistic(margins[fold][:, None], (y[fold] > 0).astype(float))
+        self.map = logistic(margins[fold][:, None], (y[fold] > 0).astype(float), inverse_rates(labels, stands_for)[fold])
 
     def margin(self, row: np.ndarray) -> float:
         return float(self.weight[row].sum(dtype=np.float64)) / max(float(self.square[row].sum(dtype=np.float64)) ** 0.5, 1e-12) + self.bias
@@ -154,23 +155,23 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_label: int) -> list:
-    """(id, text, label) of a bounded sample of rows that may be learned from: labelled 0 or 1, not held out.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_label: int) -> tuple[list, dict[int, float]]:
+    """(id, text, label) of a bounded sample of rows that may be learned from: labelled 0 or 1, not held out; rows that one of a label stands for.
 
     The sample is drawn from the labels alone; its ids, bounded in number, are broadcast, so that no text is shuffled.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    picked = bounded(known.filter(~held_out(F.col("id"), folds, fold)), "label", per_label, F.col("id"))
+    picked, stands_for = bounded(known.filter(~held_out(F.col("id"), folds, fold)), "label", per_label, F.col("id"))
     if not picked:
-        return []
+        return [], {}
     ids = docs.sparkSession.createDataFrame(picked, known.schema)
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= LONGEST_FIT_TEXT)
-    return sorted(rows.join(F.broadcast(ids), "id").collect())
+    return sorted(rows.join(F.broadcast(ids), "id").collect()), stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(docs, labels, "quality", 3, 1, FIT_ROWS)
-    return Model([r["text"] for r in sample], [r["label"] for r in sample])
+    sample, stands_for = labelled(docs, labels, "quality", 3, 1, FIT_ROWS)
+    return Model([r["text"] for r in sample], [r["label"] for r in sample], stands_for)
 
 
 def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

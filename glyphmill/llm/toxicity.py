@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .fit import inverse_rates
 from .quality import labelled, logistic
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
@@ -71,7 +72,8 @@ def _xlog(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
 class Model:
     """Scores of the tokens that tell, the extreme-value law's rate and K, and the logistic map."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
+    def __init__(self, texts: list[str], labels: list[int], stands_for: dict[int, float] | None = None):
+        """``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
         y = np.array(labels, np.int64)
         fold = np.random.default_rng(11).random(len(texts)) < 1 / 3  # these calibrate only
         self.word, self.score = np.zeros(0, np.uint64), np.zeros(0)
@@ -97,9 +99,9 @@ class Model:
         ratio = 2 * (_xlog(toxic, share * (toxic + clean)) + _xlog(clean, (1 - share) * (toxic + clean)))
         counts = (ratio > 2 * np.log(len(word) + 1.0)) & (delta > 2 * DRIFT)
         self.word, self.score = word[counts], np.minimum(delta[counts], CEILING) - DRIFT
-        self._calibrate(texts, y, fold)
+        self._calibrate(texts, y, fold, inverse_rates(y, stands_for))
 
-    def _calibrate(self, texts: list[str], y: np.ndarray, fold: np.ndarray) -> None:
+    def _calibrate(self, texts: list[str], y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> None:
         seen = list(self._segments(pa.array(texts, pa.string())))
         clean = [s for s, t in zip(seen, y, strict=True) if t == 0]
         n = sum(s[0] for s in clean)
@@ -116,7 +118,7 @@ class Model:
         self.k = 1 / max(np.mean([s[0] * np.exp(-self.rate * b) for s, b in zip(clean, best, strict=True)]), 1e-12)
         x = np.array([self.features(s) for s in seen])
         if len(set(y[fold])) == 2:
-            self.map = logistic(x[fold], (y[fold] == 1).astype(float))
+            self.map = logistic(x[fold], (y[fold] == 1).astype(float), weight[fold])
 
     def _segments(self, col: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
         """(tokens, maximal segments, positive scores, token spans' bytes) of each text."""
@@ -175,8 +177,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(docs, labels, "toxic", 4, 2, FIT_ROWS)
-    return Model([r["text"] for r in sample], [r["label"] for r in sample])
+    sample, stands_for = labelled(docs, labels, "toxic", 4, 2, FIT_ROWS)
+    return Model([r["text"] for r in sample], [r["label"] for r in sample], stands_for)
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
