@@ -6,7 +6,10 @@ shard keeps, per vector, a robust-pruned list of neighbours with reverse edges;
 vector from all its shards are united. A shard is searched with the vectors that united lists
 lead to outside of it: from the shard's medoid (and the query's own node) a greedy search walks
 to the query, then expands as long as nodes lie in range. Every hit is verified in double precision.
-A recall audit against brute force follows; below its goal, shards are built with more overlap.
+A vector whose candidates all lie in range has not seen its whole neighbourhood: it is compared with
+all of its cell, as are the queries of shards cut into blocks. The others keep every neighbour in range.
+A recall audit against brute force follows; below its goal, shards are built with more overlap, and
+then all vectors are compared block by block.
 
 Hits are counted and united inside a shard; pairs are never emitted. A shard beyond ``CAP``
 vectors, as a third of all rows in one dense spot would give, is cut into blocks, and each block
@@ -56,13 +59,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def prune(v: np.ndarray) -> list[np.ndarray]:
-    """Neighbour lists of one shard's unit vectors: the nearest, robustly pruned, with reverse edges."""
+def prune(v: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Neighbour lists of one shard's unit vectors: the nearest, robustly pruned, with reverse edges; which vectors have more in range than candidates."""
     n = len(v)
     c = min(CANDIDATES, n - 1)
     if c < 1:
-        return [np.zeros(0, np.int64) for _ in range(n)]
-    src, dst = [], []
+        return [np.zeros(0, np.int64) for _ in range(n)], np.zeros(n, bool)
+    src, dst, crowded = [], [], np.zeros(n, bool)
     for i in range(0, n, 256):
         sim = v[i : i + 256] @ v.T
         rows = np.arange(len(sim))
@@ -78,6 +81,9 @@ def prune(v: np.ndarray) -> list[np.ndarray]:
         for j in range(c):
             chosen[:, j] = alive[:, j] & (chosen.sum(1) < DEGREE)
             alive &= ~(chosen[:, j, None] & (ALPHA * among[:, j] <= far))
+        near_by = far <= 1 - COSINE + 1e-9
+        crowded[i : i + 256] = near_by.all(1) & (c < n - 1)
+        chosen |= near_by & ~crowded[i : i + 256, None]
         at, to = np.nonzero(chosen)
         src.append(at + i)
         dst.append(near[at, to])
@@ -85,7 +91,7 @@ def prune(v: np.ndarray) -> list[np.ndarray]:
     # all reverse edges: a hub keeps each node that leans on it, else those could not be reached
     both = np.unique(np.concatenate([a * n + b, b * n + a]))
     at = np.searchsorted(both // n, np.arange(n + 1))
-    return [both[at[i] : at[i + 1]] % n for i in range(n)]
+    return [both[at[i] : at[i + 1]] % n for i in range(n)], crowded
 
 
 def search(q: np.ndarray, v: np.ndarray, adjacent: list[np.ndarray], entries: list[int], seen: np.ndarray, mark: int) -> np.ndarray:
@@ -124,8 +130,8 @@ def _build(t: pa.Table) -> pa.Table:
     ids = t.column("id").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    near = prune(unit(_matrix(t.column("v"))[order]))
-    return pa.table({"id": ids, "nbrs": pa.array([ids[x] for x in near], pa.list_(pa.int64()))})
+    near, crowded = prune(unit(_matrix(t.column("v"))[order]))
+    return pa.table({"id": ids, "nbrs": pa.array([ids[x] for x in near], pa.list_(pa.int64())), "crowded": crowded})
 
 
 def _find(t: pa.Table) -> pa.Table:
@@ -158,13 +164,22 @@ def _find(t: pa.Table) -> pa.Table:
             i = parent[i]
         return i
 
+    whole = np.flatnonzero(queries.crowded.to_numpy(bool))
+
+    def compared() -> Iterator[np.ndarray]:
+        """Nodes near each query of ``whole``, from all nodes."""
+        for a in range(0, len(whole), 256):
+            q = unit(np.stack([np.frombuffer(x, "<f8") for x in queries.v.iloc[whole[a : a + 256]]]))
+            yield from (np.flatnonzero(s >= COSINE - 1e-9) for s in q @ v.T)
+
+    exact, by_comparison = compared(), set(whole.tolist())
     out = {}
     for k, (i, x) in enumerate(zip(queries.id.tolist(), queries.v, strict=True)):
         q = np.frombuffer(x, "<f8")
         q = q / np.abs(q).max()
         own = int(np.searchsorted(ids, i))
         known = own < len(ids) and ids[own] == i
-        hits = search(q / np.sqrt(q @ q), v, adjacent, [medoid, own] if known else [medoid], seen, k)
+        hits = next(exact) if k in by_comparison else search(q / np.sqrt(q @ q), v, adjacent, [medoid, own] if known else [medoid], seen, k)
         hits = hits[(raw[hits] @ q) / np.sqrt(squares[hits] * (q @ q)) >= COSINE] if len(hits) else hits
         hits = hits[ids[hits] != i]
         out[i] = int(mult[hits].sum())
@@ -177,8 +192,8 @@ def _find(t: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([x[0] for x in found], pa.int64()), "links": pa.array([x[1] for x in found], pa.int64()), "root": pa.array([x[2] for x in found], pa.int64())})
 
 
-def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: int, scratch: Scratch) -> DataFrame:
-    """(id, links, root) rows of all cells."""
+def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: int, scratch: Scratch, exact: bool = False) -> DataFrame:
+    """(id, links, root) rows of all cells; ``exact``: each query is compared with all of its cell."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,23 +217,23 @@ def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: in
     blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / CAP).cast("int").alias("nb"))
     # one row per shard; there are MOST_SHARDS of a dimension at most
     placed = placed.join(F.broadcast(scratch.cut(blocks)), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    lists = placed.groupBy("shard", "block").applyInArrow(_build, "id long, nbrs array<long>")
-    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")))  # 2 * DEGREE on average, overlap * CAP at most
+    lists = placed.groupBy("shard", "block").applyInArrow(_build, "id long, nbrs array<long>, crowded boolean")
+    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), F.max(F.col("crowded") | F.lit(exact)).alias("crowded")))  # 2 * DEGREE on average, overlap * CAP at most
     vectors = classes.select("id", "v", "mult").join(lists, "id")
     member = placed.select("shard", "nb", "block", "id", "home").join(vectors, "id")
     member = scratch.cut(member)
     outside = member.filter("nb = 1").select("shard", F.explode("nbrs").alias("id")).distinct().join(member.select("shard", "id"), ["shard", "id"], "left_anti")
-    whole = member.filter("nb = 1").select(F.col("shard"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.col("home").alias("is_q"), F.lit(True).alias("is_d"))
-    halo = outside.join(vectors, "id").select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"))
+    whole = member.filter("nb = 1").select(F.col("shard"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.col("home").alias("is_q"), F.lit(True).alias("is_d"), "crowded")
+    halo = outside.join(vectors, "id").select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"), F.lit(False).alias("crowded"))
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    data = member.filter("nb > 1").withColumn("i", every).select("shard", "i", F.col("block").alias("j"), "id", "v", "mult", "nbrs", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"))
-    queries = member.filter("nb > 1 AND home").withColumn("j", every).select("shard", F.col("block").alias("i"), "j", "id", "v", "mult", F.lit(None).cast("array<long>").alias("nbrs"), F.lit(True).alias("is_q"), F.lit(False).alias("is_d"))
+    data = member.filter("nb > 1").withColumn("i", every).select("shard", "i", F.col("block").alias("j"), "id", "v", "mult", "nbrs", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"), F.lit(False).alias("crowded"))
+    queries = member.filter("nb > 1 AND home").withColumn("j", every).select("shard", F.col("block").alias("i"), "j", "id", "v", "mult", F.lit(None).cast("array<long>").alias("nbrs"), F.lit(True).alias("is_q"), F.lit(False).alias("is_d"), F.lit(True).alias("crowded"))
     cells = whole.unionByName(halo).unionByName(data).unionByName(queries)
     return scratch.cut(cells.groupBy("shard", "i", "j").applyInArrow(_find, "id long, links long, root long"))
 
 
 def _audit(classes: DataFrame, links: DataFrame) -> float:
-    """Share of the links of AUDIT queries (half of them with links, if there are) that were found; brute force in blocks."""
+    """Share of its links that were found, on average over the AUDIT queries (half of them with links, if there are) that have some; brute force in blocks."""
     scored = classes.join(links, "id").select("id", "v", "links")
     order = F.xxhash64("id", F.lit("audit"))
     some = scored.filter("links > 0").orderBy(order).limit(AUDIT // 2).collect() + scored.orderBy(order).limit(AUDIT // 2).collect()
@@ -245,8 +260,8 @@ def _audit(classes: DataFrame, links: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
 
     truth = {r["id"]: r["n"] for r in classes.select("id", "v", "mult").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    want = sum(truth.values())
-    return sum(min(got[i]["links"], n) for i, n in truth.items()) / want if want else 1.0
+    shares = [min(got[i]["links"], n) / n for i, n in truth.items() if n]
+    return float(np.mean(shares)) if shares else 1.0
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -283,13 +298,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         k = int(np.clip(n * len(xs) / len(sample) / PER_SHARD, 1, min(MOST_SHARDS, max(1, len(xs) // 4))))
         if k > 1:
             centers[dim] = centroids(unit(np.stack(xs)), k)
-    overlap = OVERLAP
+    overlap, exact = OVERLAP, False
     while True:
-        hits = _search_once(classes, centers, overlap, scratch)
+        hits = _search_once(classes, centers, overlap, scratch, exact)
         links = scratch.cut(hits.filter("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links")))
-        if _audit(classes, links) >= RECALL or not centers or overlap >= 32:
+        if exact or _audit(classes, links) >= RECALL:
             break
-        overlap *= 2
+        if centers and overlap < 32:
+            overlap *= 2
+        else:
+            centers, exact = {}, True
     copies = packed.select("id", F.sha2("v", 256).alias("h")).join(classes.select("h", F.col("id").alias("rep"), "mult"), "h").select("id", "rep", "mult")
     copies = scratch.cut(copies)
     edges = hits.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
