@@ -25,25 +25,74 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call. ``cut`` ends a lineage; ``drop`` frees a table no longer read."""
+    """Written tables of one operator call. ``cut`` ends a lineage; ``drop`` frees a table no longer read.
+
+    What an operator returns still reads some of them, so the rest goes when the caller calls ``close``, or
+    else when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.parquet(path)
+        if self.n == 1:
+            at, files = self._at(self.root)
+            files.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            at, files = self._at(self.paths.pop(id(t)))
+            files.delete(at, True)
+
+    def close(self) -> None:
+        at, files = self._at(self.root)
+        files.delete(at, True)
+        self.paths.clear()
+
+
+#: At most so many keys can hold more than this share of all rows, which bounds what ``hot_join`` broadcasts.
+HOT_KEYS = 20_000
+#: Rows of a key below which it is never dealt out.
+HOT_ROWS = 1_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left) where a key may hold any share of a written ``left``, and ``right`` has few rows a key.
+
+    Keys of more than 1 / HOT_KEYS of the rows are dealt over tasks by a hash of ``spread``, and the right
+    side's rows of these keys are repeated for each share. All other keys are joined once.
+    """
+    spark = left.sparkSession
+    most = max(HOT_ROWS, left.count() // HOT_KEYS)
+    key = F.xxhash64(*on)
+    hot = left.groupBy(key.alias("__key")).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > most).collect()
+    if not hot:
+        return left.join(right, on, how)
+    shares = F.broadcast(spark.createDataFrame([(r["__key"], -(-r["__rows"] // most)) for r in hot], "__key long, __shares long"))
+    a = left.withColumn("__key", key).join(shares, "__key", "left")
+    a = a.withColumn("__share", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__shares")), F.lit(0))).drop("__key", "__shares")
+    b = right.withColumn("__key", key).join(shares, "__key", "left")
+    b = b.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__shares"), F.lit(1)) - 1))).drop("__key", "__shares")
+    return a.join(b, [*on, "__share"], how).drop("__share")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it none of ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

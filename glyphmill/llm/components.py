@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import HOT_KEYS, Scratch
 
-#: A node with more edges than this is joined by a broadcast row of its own, so that its edges
-#: stay where they are. There are at most 2 * edges / HOT_DEGREE such nodes; beyond
-#: HOT_ROWS of them the plain join is taken.
-HOT_DEGREE, HOT_ROWS = 50_000, 500_000
+#: A node with more edges than this, and than 1 / HOT_KEYS of them all, is joined by a broadcast row of its own,
+#: so that its edges stay where they are. By the second bound there are HOT_KEYS such nodes at most.
+HOT_DEGREE = 50_000
 
 
 def _to_least(edges: DataFrame, least: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame:
     """(u, v, m): edges with the least of each u."""
     if n_edges > HOT_DEGREE:  # else no node can be hot
         least = scratch.cut(least)
-        hot = least.filter(F.col("n") > HOT_DEGREE).select("u", "m")
-        if 0 < hot.count() <= HOT_ROWS:
+        hot = least.filter(F.col("n") > max(HOT_DEGREE, n_edges // HOT_KEYS)).select("u", "m")
+        if hot.limit(1).count():
             there = edges.join(F.broadcast(hot), "u")
             rest = edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
             return there.unionByName(rest)

@@ -144,15 +144,15 @@ def test_surrogates_stay_distinct(spark):
     """More given names than the list holds: clashes are drawn again until none is left."""
     names = [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)] + [n.lower() for n in pii_surrogates.GIVEN["given_m_latin"]]
     df = spark.createDataFrame([("given_m_latin", n) for n in names], "kind string, canon string")
-    got = pii_surrogates.surrogates(df, Scratch(spark, "t")).collect()
+    got = pii_surrogates.surrogates(df, Scratch(spark, "t"), "tests").collect()
     made = [r.surrogate for r in got]
     assert len(got) == len(names) == len(set(made)) and not set(made) & set(names)
 
 
 def test_pii_of_odd_rows(spark):
     docs = odd_documents(spark)
-    got = pii_surrogates.pseudonymise(docs)
-    assert got.columns == [*docs.columns, "__n_entities", "__kinds"] and got.count() == docs.count()
+    got = pii_surrogates.pseudonymise(docs, kinds_col="__kinds")
+    assert got.columns == [*docs.columns, "__kinds"] and got.count() == docs.count()
     by_id = {r.doc_id: r for r in got.collect()}
     assert by_id[0].text is None and by_id[4].text == {r.doc_id: r.text for r in docs.collect()}[4] and by_id[14]["__kinds"] == "card,email,phone"
     assert pii_surrogates.pseudonymise(empty_documents(spark)).count() == 0
