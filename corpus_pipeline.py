@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import byte_bpe, fair_mix, language_id, minhash_dedup, pii_surrogates
-from glyphmill.llm.common import Scratch, table
+from glyphmill.llm.common import Scratch, fresh, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with keyed surrogates; n_chars, where it is a column, follows the text."""
-    out = pii_surrogates.pseudonymise(docs)
+    found = fresh(docs.columns, "n_entities")
+    out = pii_surrogates.pseudonymise(docs, count_col=found)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
