@@ -149,7 +149,7 @@ def _draw() -> str:
     octets = f"array_join(transform(sequence(0, 3), i -> cast(1 + {v} % 254 AS string)), '.')"
     pick = lambda xs: f"element_at({_names(xs)}, 1 + {v} % {len(xs)})"
     built = lambda script, first: f"array_join(transform(sequence(0, {first} + attempt), i -> {pick(SYLLABLES[script])}), '')"
-    given = " ".join(f"WHEN kind = '{k}' THEN IF(attempt = 0, lower(element_at(transform(array(0), i -> {pick(xs)}), 1)), concat({built(k.split('_')[2], 0)}, '{ENDINGS[k[6:]]}'))" for k, xs in GIVEN.items())
+    given = " ".join(f"WHEN kind = '{k}' THEN IF(attempt < 4, lower(element_at(transform(array(0), i -> {pick(xs)}), 1)), concat({built(k.split('_')[2], -3)}, '{ENDINGS[k[6:]]}'))" for k, xs in GIVEN.items())
     surname = " ".join(f"WHEN kind = 'surname_{k}' THEN {built(k, 2)}" for k in SYLLABLES)
     luhn = "aggregate(transform(split(reverse({}), ''), (c, i) -> IF(i % 2 = 1, cast(c AS int) * 2 - IF(cast(c AS int) > 4, 9, 0), cast(c AS int))), 0, (a, x) -> a + x)"
     fixed = lambda text, keep: text.replace("keep", keep)

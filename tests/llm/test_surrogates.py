@@ -111,7 +111,7 @@ def draw(kind, canon, attempt):
     if kind.startswith("surname_"):
         return built(kind[8:], 3 + attempt)
     names = P.GIVEN[kind]
-    return names[v(0) % len(names)].lower() if not attempt else built(kind.split("_")[2], 1 + attempt) + P.ENDINGS[kind[6:]]
+    return names[v(0) % len(names)].lower() if attempt < 4 else built(kind.split("_")[2], attempt - 2) + P.ENDINGS[kind[6:]]
 
 
 def all_surrogates(found):
