@@ -67,16 +67,21 @@ HOT_KEYS = 20_000
 HOT_ROWS = 1_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """``left.join(right, on, how)`` (inner or left) where a key may hold any share of a written ``left``, and ``right`` has few rows a key.
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", rows: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left) where a key may hold any share of ``left``, and ``right`` has few rows a key.
 
     Keys of more than 1 / HOT_KEYS of the rows are dealt over tasks by a hash of ``spread``, and the right
-    side's rows of these keys are repeated for each share. All other keys are joined once.
+    side's rows of these keys are repeated for each share. All other keys are joined once. ``rows``: (``on``, __rows)
+    of the keys of ``left``, where that is known; else ``left`` is counted, and should be a written table.
     """
     spark = left.sparkSession
-    most = max(HOT_ROWS, left.count() // HOT_KEYS)
     key = F.xxhash64(*on)
-    hot = left.groupBy(key.alias("__key")).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > most).collect()
+    if rows is None:
+        rows, total = left.groupBy(*on).agg(F.count("*").alias("__rows")), left.count()
+    else:
+        total = rows.agg(F.sum("__rows")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = rows.filter(F.col("__rows") > most).groupBy(key.alias("__key")).agg(F.sum("__rows").alias("__rows")).collect() if total > most else []
     if not hot:
         return left.join(right, on, how)
     shares = F.broadcast(spark.createDataFrame([(r["__key"], -(-r["__rows"] // most)) for r in hot], "__key long, __shares long"))

@@ -7,6 +7,7 @@ never cut: a chunk holds one whole text at least.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -96,23 +97,66 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     return slice_hash(prefix_hash(LOWER[raw] if lower else raw), start, end), start, end, np.searchsorted(start, off)
 
 
-def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of ``size`` words of a text (the whole text if it has fewer), and each text's first."""
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word among the distinct ones, and these: equal numbers are equal bytes."""
+    size = end - start
+    off = np.concatenate([[0], np.cumsum(size)])
+    inside = np.repeat(start - off[:-1], size) + np.arange(off[-1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw[inside]))])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def shingle_hashes(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a hash of each run of ``size`` words of a text (all its words if it has fewer), and each text's first.
+
+    A word's hash is 128 bits of BLAKE2 over its bytes, A-Z in lower case; a run's is mixed from its words' in order.
+    """
+    small = LOWER[raw]
+    start, end = spans(~SPACE[raw], off)
+    first = np.searchsorted(start, off)
+    code, distinct = word_codes(small, start, end)
+    of_word = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()), "<u8").reshape(-1, 2)
+    words = of_word[code]
     n, count = len(words), np.diff(first)
     out_first = np.concatenate([[0], np.cumsum(np.where(count >= size, count - size + 1, np.minimum(count, 1)))])
-    out = np.zeros(int(out_first[-1]), np.uint64)
+    high, low = np.zeros((2, int(out_first[-1])), np.uint64)
+
+    def run(h: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix((h + w[:, 0]) * np.uint64(0x9E3779B97F4A7C15))
+        return h, mix((g ^ w[:, 1]) * np.uint64(0xD6E8FEB86659FD93) + h)
+
     if n >= size:
-        runs = np.zeros(n - size + 1, np.uint64)
+        h = g = np.full(n - size + 1, size, np.uint64)
         for k in range(size):
-            runs += words[k : n - size + 1 + k] * np.uint64((2 * k + 3) * 0x9E3779B97F4A7C15 & (2**64 - 1) | 1)
-        runs = mix(runs)
+            h, g = run(h, g, words[k : n - size + 1 + k])
         long = np.flatnonzero(count >= size)
         lengths = count[long] - size + 1
-        place = np.repeat(out_first[:-1][long], lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        out[place] = runs[place - np.repeat(out_first[:-1][long], lengths) + np.repeat(first[:-1][long], lengths)]
-    for d in np.flatnonzero((count > 0) & (count < size)):
-        h = np.uint64(count[d])
-        for w in words[first[d] : first[d + 1]]:
-            h = mix(np.array([h * np.uint64(0xD6E8FEB86659FD93) + w], np.uint64))[0]
-        out[out_first[d]] = h
-    return out, out_first
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place, source = np.repeat(out_first[:-1][long], lengths) + within, np.repeat(first[:-1][long], lengths) + within
+        high[place], low[place] = h[source], g[source]
+    short = np.flatnonzero((count > 0) & (count < size))
+    h = g = count[short].astype(np.uint64)
+    for k in range(size - 1):
+        more = np.flatnonzero(count[short] > k)
+        h, g = h.copy(), g.copy()
+        h[more], g[more] = run(h[more], g[more], words[first[short[more]] + k])
+    high[out_first[short]], low[out_first[short]] = h, g
+    return high, low, out_first
+
+
+def shingle_codes(col: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of the runs of ``size`` words of each text: two runs have one number if and only if their words are equal.
+
+    All texts are numbered together, so their bytes should be bounded. Fewer words than ``size`` have no run.
+    """
+    out: list[np.ndarray] = []
+    for _, _, raw, off in chunks(col, 1 << 62):
+        start, end = spans(~SPACE[raw], off)
+        first = np.searchsorted(start, off)
+        words, distinct = word_codes(LOWER[raw], start, end)
+        runs = words[: max(0, len(words) - size + 1)]
+        for k in range(1, size):
+            _, runs = np.unique(runs * (len(distinct) + 1) + words[k : k + len(runs)], return_inverse=True)
+        out = [np.unique(runs[a : max(a, b - size + 1)]) for a, b in zip(first, first[1:], strict=False)]
+    return out

@@ -72,7 +72,8 @@ def test_op5_against_sql(spark, tmp_path):
                 base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(base))
     rows = [(i, t, "en", "a", 1, *[None] * 10) for i, t in enumerate(texts, 100)]
-    docs = odd_documents(spark, null_id=False, repeated=False).unionByName(spark.createDataFrame(rows, odd_documents(spark).schema))
+    rows += [(3, texts[0], "en", "a", 1, *[None] * 10), (3, texts[-1], "en", "a", 1, *[None] * 10), (None, texts[0], "en", "a", 1, *[None] * 10)]  # ids of several texts, texts without id
+    docs = odd_documents(spark).unionByName(spark.createDataFrame(rows, odd_documents(spark).schema))
     where = write(spark, tmp_path, documents=docs)
     same_rows(minhash_dedup.op5_minhash_dedup(spark, where), *duck(where, minhash_dedup.ORACLE, "documents"))
 
@@ -99,6 +100,51 @@ def test_op5_repeated_and_null_ids(spark):
     assert minhash_dedup.keep_one(odd_documents(spark)).filter("doc_id = 4").count() == 1
 
 
+def thue_morse(n, a, b):
+    """A word and its complement, which every polynomial hash modulo 2^64 takes for one another from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_op5_words_that_a_polynomial_hash_confuses(spark, tmp_path):
+    x, y = thue_morse(2048, "a", "b")
+    tail = prose(random.Random(1), 60)
+    texts = [f"p q r s {x}", f"p q r s {y}", x, y, f"{x} {tail}", f"{y} {tail}"]
+    where = write(spark, tmp_path, documents=spark.createDataFrame([(i, t, "en", "a", 1, *[None] * 10) for i, t in enumerate(texts)], odd_documents(spark).schema))
+    same_rows(minhash_dedup.op5_minhash_dedup(spark, where), *duck(where, minhash_dedup.ORACLE, "documents"))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.op5_minhash_dedup(spark, where).collect()}
+    assert [got[i] for i in range(6)] == [0, 1, 2, 3, 4, 4]
+
+
+@pytest.mark.parametrize("hot", [1_000, 20])
+def test_op5_hot_keys_are_dealt_out(spark, tmp_path, monkeypatch, hot):
+    """Many copies of one text and near copies of another, with every hot key split."""
+    from glyphmill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(minhash_dedup, "STAR", 8)
+    rng = random.Random(9)
+    same, base = prose(rng, 50), prose(rng, 80).split()
+    texts = [same] * 120 + [" ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(80)]
+    rows = [(i, t, "en", "a", 1, *[None] * 10) for i, t in enumerate(texts)]
+    where = write(spark, tmp_path, documents=spark.createDataFrame(rows, odd_documents(spark).schema))
+    same_rows(minhash_dedup.op5_minhash_dedup(spark, where), *duck(where, minhash_dedup.ORACLE, "documents"))
+
+
+def test_keep_one_goes_by_rows(spark):
+    """A different text of the same id stays; of equal rows one does; the choice is the same whatever the order."""
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (1, b, "y"), (2, a, "x"), (3, c, "x"), (None, a, "x"), (None, None, "x"), (4, None, "x"), (4, None, "x"), (5, " ", "x")]
+    want = None
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, minhash_dedup.keep_one(spark.createDataFrame(order, "doc_id long, text string, t string").repartition(3)).collect()), key=repr)
+        assert want is None or got == want
+        want = got
+    assert [r for r in want if r[1] != b] == sorted([r for r in rows if r[1] != b and r[:2] != (2, a)], key=repr) and len([r for r in want if r[1] == b]) == 1
+    assert minhash_dedup.keep_one(empty_documents(spark)).count() == 0
+
+
 def test_op4_against_sql(spark, tmp_path):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
