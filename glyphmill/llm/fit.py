@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longer texts are left out of fitting (never out of scoring), so that a sample's bytes are bounded too.
-LONGEST_FIT_TEXT = 1 << 18
+#: Values of the hash that rows are drawn by.
+SPOTS = 1 << 62
 
 
-def bounded(df: DataFrame, label: str, per_label: int, order: Column) -> tuple[list, dict]:
-    """About ``per_label`` rows (at most 1.5 times that) of each value of ``label``, chosen by a hash of ``order``: the same rows on every run.
+def share(rows: int, per_label: int) -> int:
+    """Spots below which a row of a label of so many rows is drawn: about ``per_label`` rows, at any number of rows."""
+    return SPOTS if rows <= per_label else SPOTS * per_label // rows
 
-    Beside them, how many rows of the table one drawn row of each label stands for.
+
+def bounded(df: DataFrame, label: str, per_label: int, order: Column) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows (all, of a rarer label) of each value of ``label``, chosen by a hash of ``order``: the same rows on every run.
+
+    Beside them, how many rows of the table one drawn row of each label stands for. The number of rows drawn is
+    binomial around ``per_label``, and so bounded whatever the table's size; nothing else decides on a row.
     """
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not n:
-        return [], {}
-    parts = 1 << 24
-    spot = F.pmod(F.xxhash64(order, F.lit("fit")), F.lit(parts))
-    share = F.create_map(*(x for k, c in n.items() for x in (F.lit(k), F.lit(int(parts * min(1.0, per_label / c))))))
-    rows = df.filter(spot < share[F.col(label)])
-    drawn = sorted(rows.limit(int(1.5 * per_label * len(n)) + 1).collect())
-    got = Counter(r[label] for r in drawn)
+        return df.limit(0), {}
+    spot = F.pmod(F.xxhash64(order, F.lit("fit")), F.lit(SPOTS))
+    shares = F.create_map(*(x for k, c in n.items() for x in (F.lit(k), F.lit(share(c, per_label)).cast("long"))))
+    drawn = df.filter(spot < shares[F.col(label)])
+    got = {r[label]: r["n"] for r in drawn.groupBy(label).agg(F.count("*").alias("n")).collect()}
     return drawn, {k: n[k] / c for k, c in got.items()}
 
 

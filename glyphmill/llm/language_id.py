@@ -6,8 +6,10 @@ which a forward pass over the matching pieces gives; a text's is the product ove
 Piece probabilities are fitted by expectation-maximisation over the same forward and backward
 passes, on a bounded sample of texts of each language.
 
-Pieces of up to ``LONGEST`` bytes are used; any byte also stands alone as a piece, so that every word
-has a segmentation. Words of more than ``CHUNK`` bytes are taken in chunks of that many.
+All pieces are used; any byte also stands alone as a piece, so that every word has a segmentation. White space
+is one space before a word, so the few pieces that hold more than one space match nowhere. A word is never cut:
+sums over long words are rescaled as they go, and words beyond ``LATTICE_BYTES`` go on from slice to slice
+with the sums of the places that a piece can still begin at.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .fit import LONGEST_FIT_TEXT, bounded
+from .fit import bounded
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Texts of each language fitted on (a documented bound; rows are chosen by hash of the id).
 FIT_ROWS = 400
 ROUNDS, ADD = 4, 0.1
-LONGEST, CHUNK = 16, 40
+#: Places after which sums are scaled anew.
+STRIDE = 24
 #: Keeps products of piece probabilities near 1; taken back in logs.
 GAIN = 12.0
 #: Bytes of different words that one lattice holds, so that memory does not grow with a text.
@@ -50,10 +53,12 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 piece = sp.id_to_piece(i).replace("▁", " ").encode()
-                if 1 < len(piece) <= LONGEST and b" " not in piece[1:]:
+                if len(piece) > 1 and b" " not in piece[1:]:
                     found.setdefault(piece, len(found))
         self.size = len(found)
         self.width = np.array([len(p) for p in found])
+        self.sizes = sorted({len(p) for p in found} - {1})
+        self.longest = self.sizes[-1]
         raw = np.frombuffer(b"".join(found), np.uint8)
         end = np.cumsum([len(p) for p in found])
         h = slice_hash(prefix_hash(raw), end - [len(p) for p in found], end)
@@ -91,7 +96,7 @@ class Lattice:
         left = np.repeat(end, end - start) - np.arange(self.n)  # bytes from a place to its word's end
         prefix = prefix_hash(raw)
         a, b, p = [np.arange(self.n)], [np.arange(self.n) + 1], [raw.astype(np.int32)]
-        for size in range(2, LONGEST + 1):
+        for size in vocabulary.sizes:
             at = np.flatnonzero(left >= size)
             number = vocabulary(slice_hash(prefix, at, at + size))
             hit = number >= 0
@@ -108,31 +113,58 @@ class Lattice:
         self.steps = np.searchsorted(place, np.arange(1, int(place[-1]) + 2)) if len(p) else np.zeros(1, np.int64)
         self.first, self.last = start + np.arange(len(start)), end + np.arange(len(start))
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """Scaled sums of all segmentations up to each node; ``prob`` is (pieces, languages), scaled by GAIN a byte."""
+        self.reach = vocabulary.longest
+
+    def forward(self, prob: np.ndarray, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all segmentations up to each node, and the logs of what they are to be multiplied with; ``prob`` is
+        (pieces, languages), scaled by GAIN a byte. ``given``: the sums of the first nodes of a single word."""
         out = np.zeros((self.n + len(self.start), prob.shape[1]))
+        log, total = np.zeros_like(out), np.zeros((len(self.start), prob.shape[1]))
         out[self.first] = 1
-        for i, j in zip(self.steps, self.steps[1:], strict=False):
-            to = self.b[i:j]
-            head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            out[to[head]] = np.add.reduceat(out[self.a[i:j]] * prob[self.p[i:j]], head, axis=0)
-        return out
-
-    def backward(self, prob: np.ndarray) -> np.ndarray:
+        known = 0
+        if given is not None:
+            out[: len(given)] = given
+            known = len(given) - 1
+        for t, (i, j) in enumerate(zip(self.steps, self.steps[1:], strict=False), 1):
+            if t <= known:
+                continue
+            if i < j:
+                to = self.b[i:j]
+                head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                out[to[head]] = np.add.reduceat(out[self.a[i:j]] * prob[self.p[i:j]], head, axis=0)
+            if t % STRIDE == 0:  # nodes that a piece can still begin at get a common scale, which holds for those to come
+                self._rescale(out, log, total, t, (t - self.reach + 1, t), (t - self.reach + 1, t + STRIDE))
+        return out, log
+
+    def backward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from each node to its word's end."""
         out = np.zeros((self.n + len(self.start), prob.shape[1]))
+        log, total = np.zeros_like(out), np.zeros((len(self.start), prob.shape[1]))
         out[self.last] = 1
-        for i, j in zip(self.steps[-2::-1], self.steps[:0:-1], strict=False):
+        for t in range(len(self.steps) - 1, 0, -1):
+            if t % STRIDE == 0:  # node t is whole; those a piece's length before it are being summed up
+                self._rescale(out, log, total, t, (t - self.reach, t), (t - self.reach - STRIDE, t))
+            i, j = self.steps[t - 1], self.steps[t]
             np.add.at(out, self.a[i:j], out[self.b[i:j]] * prob[self.p[i:j]])
-        return out
+        return out, log
+
+    def _rescale(self, out: np.ndarray, log: np.ndarray, total: np.ndarray, t: int, summed: tuple[int, int], scaled: tuple[int, int]) -> None:
+        """Divides the sums at places ``summed`` of each word that is so long by their greatest; ``total`` is the log of a word's scale, which places ``scaled`` get."""
+        word = np.flatnonzero(self.last - self.first >= t)
+        if not len(word):
+            return
+        places = lambda span: np.minimum(self.first[word][:, None] + np.maximum(np.arange(span[0], span[1] + 1), 0), self.last[word][:, None])
+        near = places(summed)
+        top = out[near].max(1)
+        top = np.where(top > 0, top, 1.0)
+        out[near] /= top[:, None]
+        total[word] += np.log(top)
+        log[places(scaled)] = total[word][:, None]
 
 
 def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first of each text) of words, long ones cut into chunks."""
+    """(start, end, first of each text) of words."""
     start, end = spans(~SPACE[raw], off)
-    parts = -(-(end - start) // CHUNK)
-    if len(parts) and parts.max() > 1:
-        at = np.repeat(start, parts) + CHUNK * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        start, end = at, np.minimum(at + CHUNK, np.repeat(end, parts))
     return start, end, np.searchsorted(start, off)
 
 
@@ -147,34 +179,58 @@ def _spelled(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def _slices(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of words of about LATTICE_BYTES bytes."""
+    """Ranges of words of about LATTICE_BYTES bytes; a word beyond that is a range of its own."""
     stop = np.cumsum(end - start + 1)
-    cuts = np.unique(np.append(np.searchsorted(stop, np.arange(0, stop[-1], LATTICE_BYTES)), len(stop))).tolist()
+    long = np.flatnonzero(end - start >= LATTICE_BYTES)
+    cuts = np.unique(np.concatenate([np.searchsorted(stop, np.arange(0, stop[-1], LATTICE_BYTES)), long, long + 1, [0, len(stop)]])).tolist()
     yield from zip(cuts, cuts[1:], strict=False)
 
 
+def _long_word(raw: np.ndarray, prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """Log of the sum over all segmentations of one word, LATTICE_BYTES at a time."""
+    given, log, at = None, np.zeros(prob.shape[1]), 0
+    while at < len(raw):
+        back = 0 if given is None else len(given) - 1
+        part = raw[at - back : at + LATTICE_BYTES]
+        lattice = Lattice(part, np.array([0]), np.array([len(part)]), vocabulary)
+        out, logs = lattice.forward(prob, given)
+        given = out[-min(len(out), vocabulary.longest) :]
+        log += logs[-1]
+        at += LATTICE_BYTES
+    with np.errstate(divide="ignore"):
+        return np.log(given[-1]) + log
+
+
+def count_words(texts: pa.Array, langs: list[str]) -> dict[tuple[str, bytes], int]:
+    """How often each word, A-Z in lower case, stands in the texts of each language. Words beyond LATTICE_BYTES, which the fit has no use for, are left out."""
+    counts: dict[tuple[str, bytes], int] = {}
+    for lo, hi, raw, off in chunks(texts):
+        start, end, first = _words(raw, off)
+        data = LOWER[raw].tobytes()
+        for d in range(lo, hi):
+            for i, j in zip(start[first[d - lo] : first[d - lo + 1]].tolist(), end[first[d - lo] : first[d - lo + 1]].tolist(), strict=True):
+                if j - i < LATTICE_BYTES:
+                    counts[key] = counts.get(key := (langs[d], data[i:j]), 0) + 1
+    return counts
+
+
 class Model:
     """Scaled piece probabilities of each language."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
+    def __init__(self, counts: dict[tuple[str, bytes], int]):
+        """``counts``: how often a word stands in texts of a language, as ``count_words`` gives them."""
+        self.langs = sorted({lang for lang, _ in counts})
         vocabulary = pieces()
         gain = GAIN**vocabulary.width
         spelled = np.zeros((vocabulary.size, max(1, len(self.langs))))
+        by_lang: dict[str, dict[bytes, int]] = {lang: {} for lang in self.langs}
+        for (lang, word), n in counts.items():
+            by_lang[lang][word] = n
         for g, lang in enumerate(self.langs):
-            col = pa.array([t for t, x in zip(texts, langs, strict=True) if x == lang], pa.string())
-            counts: dict[bytes, int] = {}
-            for _, _, raw, off in chunks(col):
-                start, end, _ = _words(raw, off)
-                data = LOWER[raw].tobytes()
-                for i, j in zip(start.tolist(), end.tolist(), strict=True):
-                    counts[w] = counts.get(w := data[i:j], 0) + 1
-            if not counts:
-                spelled[:, g] = 1 / vocabulary.size
-                continue
-            raw = np.frombuffer(b"".join(counts), np.uint8)
-            stop = np.cumsum([len(w) for w in counts])
-            start, n = stop - [len(w) for w in counts], np.array(list(counts.values()), float)
+            own = dict(sorted(by_lang[lang].items()))
+            raw = np.frombuffer(b"".join(own), np.uint8)
+            stop = np.cumsum([len(w) for w in own])
+            start, n = stop - [len(w) for w in own], np.array(list(own.values()), float)
             lattices = [(Lattice(*_spelled(raw, start[i:j], stop[i:j]), vocabulary), n[i:j]) for i, j in _slices(start, stop)]
             prob = sum(np.bincount(lattice.p, minlength=vocabulary.size) for lattice, _ in lattices) + ADD
             for _ in range(ROUNDS):
@@ -183,9 +239,10 @@ class Model:
                 scaled[:, 0] *= gain
                 prob = np.full(vocabulary.size, ADD)
                 for lattice, times in lattices:
-                    ahead, back = lattice.forward(scaled), lattice.backward(scaled)
+                    (ahead, ahead_log), (back, back_log) = lattice.forward(scaled), lattice.backward(scaled)
                     word = np.searchsorted(lattice.first, lattice.a, "right") - 1
-                    expected = (times / ahead[lattice.last, 0])[word] * ahead[lattice.a, 0] * scaled[lattice.p, 0] * back[lattice.b, 0]
+                    scale = np.exp(ahead_log[lattice.a, 0] + back_log[lattice.b, 0] - ahead_log[lattice.last, 0][word])
+                    expected = (times / ahead[lattice.last, 0])[word] * ahead[lattice.a, 0] * scaled[lattice.p, 0] * back[lattice.b, 0] * scale
                     prob += np.bincount(lattice.p, expected, vocabulary.size)
             spelled[:, g] = prob / prob.sum()
         self.scaled = spelled * gain[:, None]
@@ -195,8 +252,13 @@ class Model:
         out = np.empty((len(start), self.scaled.shape[1]))
         for i, j in _slices(start, end):
             spelled = _spelled(raw, start[i:j], end[i:j])
-            lattice = Lattice(*spelled, vocabulary)
-            out[i:j] = np.log(lattice.forward(self.scaled)[lattice.last]) - ((spelled[2] - spelled[1]) * np.log(GAIN))[:, None]
+            if len(spelled[0]) > LATTICE_BYTES and j == i + 1:
+                found = _long_word(spelled[0], self.scaled, vocabulary)
+            else:
+                lattice = Lattice(*spelled, vocabulary)
+                sums, log = lattice.forward(self.scaled)
+                found = np.log(sums[lattice.last]) + log[lattice.last]
+            out[i:j] = found - ((spelled[2] - spelled[1]) * np.log(GAIN))[:, None]
         return out
 
     def of(self, col: pa.Array) -> Iterator[tuple[str, float]]:
@@ -254,13 +316,29 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from text and lang of documents outside of the held-out fold alone."""
+    """Learns from text and lang of documents outside of the held-out fold alone.
+
+    At most about FIT_ROWS whole texts of each language are drawn. Words are counted where the texts are, so that
+    the driver gets the distinct words of the sample and no text.
+    """
     known = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.filter(~held_out(F.col("id"), 3, 1) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST_FIT_TEXT))
+    known = known.filter(~held_out(F.col("id"), 3, 1) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    # the number of rows by language is counted without reading a text
     sample, _ = bounded(known, "lang", FIT_ROWS, F.col("id"))
-    return Model([r["text"] for r in sample], [r["lang"] for r in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = count_words(b.column(1), b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+
+    counted = sample.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return Model({(r["lang"], bytes(r["word"])): r["n"] for r in counted.toLocalIterator()})
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document: ``identify`` says what becomes of odd rows.
+
+    Ties go to the first language by name; a text is read whole, however long, and whatever its longest word.
+    """
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,7 @@ that the weights have not seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .fit import LONGEST_FIT_TEXT, bounded, inverse_rates
+from .fit import bounded, inverse_rates
 from .textscan import chunks, mix, word_hashes
 
 #: Hash buckets of trigrams, and of shape bigrams behind them.
@@ -74,24 +74,45 @@ def _repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out | again << 1
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, epochs: int = EPOCHS, c: float = C) -> np.ndarray:
+class Packed(Sequence):
+    """Feature numbers of rows that are kept as bitmaps, so that a row takes DIM / 8 bytes whatever its text."""
+
+    def __init__(self, bits: Sequence[bytes]):
+        self.bits = bits
+
+    def __len__(self) -> int:
+        return len(self.bits)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(self.bits[i], np.uint8), count=DIM))
+
+
+def packed(col: pa.Array) -> Iterator[bytes]:
+    """Bitmap of the indicators of each text."""
+    flags = np.zeros(DIM, bool)
+    for _, _, raw, off in chunks(col, 1 << 19):
+        for r in indicators(raw, off):
+            flags[:] = False
+            flags[r] = True
+            yield np.packbits(flags).tobytes()
+
+
+def descend(rows: Sequence[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, epochs: int = EPOCHS, c: float = C) -> np.ndarray:
     """Dual coordinate descent for the L1 hinge loss (Hsieh et al. 2008) on unit-length rows scaled by ``scale``; the last weight is the bias."""
     w = np.zeros(DIM + 1)
-    values = []
-    for r in rows:
-        v = np.append(scale[r], 0.0)
-        v /= max(np.linalg.norm(v), 1e-12)
-        v[-1] = 1.0
-        values.append((np.append(r, DIM), v, float(v @ v)))
+    sizes = np.array([max(np.linalg.norm(scale[rows[i]]), 1e-12) for i in range(len(rows))])
+    norms = np.array([float(np.sum((scale[rows[i]] / sizes[i]) ** 2)) + 1.0 for i in range(len(rows))])
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            r, v, norm = values[i]
-            step = alpha[i] - (y[i] * (w[r] @ v) - 1) / norm
+            r = rows[i]
+            v = scale[r] / sizes[i]
+            step = alpha[i] - (y[i] * (w[r] @ v + w[-1]) - 1) / norms[i]
             new = min(max(step, 0.0), c * weight[i])
             if new != alpha[i]:
                 w[r] += (new - alpha[i]) * y[i] * v
+                w[-1] += (new - alpha[i]) * y[i]
                 alpha[i] = new
     return w
 
@@ -114,9 +135,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 60)
 class Model:
     """Weight of each feature with its naive Bayes scale folded in, squares of the scale, bias, and the logistic map."""
 
-    def __init__(self, texts: list[str], labels: list[int], stands_for: dict[int, float] | None = None):
-        """``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
-        rows = [r for _, _, raw, off in chunks(pa.array(texts, pa.string())) for r in indicators(raw, off)]
+    def __init__(self, bits: Sequence[bytes], labels: list[int], stands_for: dict[int, float] | None = None):
+        """``bits``: a bitmap of each row's indicators; ``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
+        rows = Packed(bits)
         y = np.where(np.array(labels, np.int64) == 1, 1.0, -1.0)
         fold = np.random.default_rng(11).random(len(rows)) < 0.25  # these calibrate only
         if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:  # nothing to tell apart
@@ -127,7 +148,7 @@ class Model:
         scale = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
         fit = np.flatnonzero(~fold)
         share = (y[fit] == 1).mean()
-        w = descend([rows[i] for i in fit], y[fit], np.where(y[fit] == 1, 0.5 / share, 0.5 / (1 - share)), scale)
+        w = descend(Packed([bits[i] for i in fit]), y[fit], np.where(y[fit] == 1, 0.5 / share, 0.5 / (1 - share)), scale)
         self.weight, self.square, self.bias = (w[:-1] * scale).astype(np.float32), (scale**2).astype(np.float32), float(w[-1])
         margins = np.array([self.margin(r) for r in rows])
         self.map = logistic(margins[fold][:, None], (y[fold] > 0).astype(float), inverse_rates(labels, stands_for)[fold])
@@ -155,26 +176,37 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_label: int) -> tuple[list, dict[int, float]]:
-    """(id, text, label) of a bounded sample of rows that may be learned from: labelled 0 or 1, not held out; rows that one of a label stands for.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_label: int) -> tuple[DataFrame, dict[int, float]]:
+    """(id, label, text) of a bounded sample of rows that may be learned from: labelled 0 or 1, not held out; rows that one of a label stands for.
 
     The sample is drawn from the labels alone; its ids, bounded in number, are broadcast, so that no text is shuffled.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
     picked, stands_for = bounded(known.filter(~held_out(F.col("id"), folds, fold)), "label", per_label, F.col("id"))
-    if not picked:
-        return [], {}
-    ids = docs.sparkSession.createDataFrame(picked, known.schema)
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= LONGEST_FIT_TEXT)
-    return sorted(rows.join(F.broadcast(ids), "id").collect()), stands_for
+    ids = docs.sparkSession.createDataFrame(picked.collect(), known.schema)
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(ids), "id").select("id", "label", "text"), stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fitted in the driver, on a bitmap of each drawn row: its size is bounded by the number of rows alone. Whole texts are read."""
     sample, stands_for = labelled(docs, labels, "quality", 3, 1, FIT_ROWS)
-    return Model([r["text"] for r in sample], [r["label"] for r in sample], stands_for)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(packed(b.column(2))), pa.binary())], names=["id", "label", "bits"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sorted((r["id"], r["label"], bytes(r["bits"])) for r in sample.mapInArrow(run, f"id {kind}, label int, bits binary").collect())
+    return Model([r[2] for r in rows], [r[1] for r in rows], stands_for)
 
 
 def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts get the score of a text without indicators, very long ones are read whole, equal texts
+    get equal scores, a null id is not held out; an empty table gives an empty one. A score of 0.5 predicts 1.
+    """
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -12,14 +12,14 @@ give the final score by a logistic fit on rows that the odds have not seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import Scratch, held_out, table
 from .fit import inverse_rates
 from .quality import labelled, logistic
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
@@ -28,6 +28,8 @@ from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 FIT_ROWS = 4_000
 #: Weight of the prior, in tokens; what a token costs; largest score.
 PRIOR, DRIFT, CEILING = 500.0, 0.25, 6.0
+#: -log of a chance beyond which a passage is no surer; it bounds the logistic map's feature, as CEILING bounds what one token can say.
+MOST = 30.0
 SIGNIFICANT = 0.01
 
 _SYMBOL = np.zeros(256, bool)
@@ -65,6 +67,30 @@ def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float, n: int) ->
     return [(a, b, r - lo) for a, b, lo, r, _ in out]
 
 
+def _some(texts: Iterable[str], size: int = 1 << 22) -> Iterator[pa.Array]:
+    """Texts as arrays of about ``size`` characters."""
+    rows, held = [], 0
+    for t in texts:
+        rows.append(t)
+        held += len(t)
+        if held >= size:
+            yield pa.array(rows, pa.string())
+            rows, held = [], 0
+    if rows:
+        yield pa.array(rows, pa.string())
+
+
+class Stored:
+    """The texts of a written table in order of their ids, brought to the driver a partition at a time."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[str]:
+        for r in self.rows.toLocalIterator():
+            yield r["text"]
+
+
 def _xlog(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, expected, 1))
 
@@ -72,24 +98,34 @@ def _xlog(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
 class Model:
     """Scores of the tokens that tell, the extreme-value law's rate and K, and the logistic map."""
 
-    def __init__(self, texts: list[str], labels: list[int], stands_for: dict[int, float] | None = None):
-        """``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
+    def __init__(self, texts: Iterable[str], labels: list[int], stands_for: dict[int, float] | None = None):
+        """``texts`` are gone through twice, some at a time; ``stands_for``: rows of the table for each drawn row of a label, 1 where missing."""
         y = np.array(labels, np.int64)
-        fold = np.random.default_rng(11).random(len(texts)) < 1 / 3  # these calibrate only
+        fold = np.random.default_rng(11).random(len(y)) < 1 / 3  # these calibrate only
         self.word, self.score = np.zeros(0, np.uint64), np.zeros(0)
         self.rate, self.k, self.map = 1.0, 1.0, np.array([-4.0, 0.0, 0.0])
         if not ((y == 1) & ~fold).any() or not ((y == 0) & ~fold).any():
             self.map[0] = 4.0 if len(y) and (y == 1).all() else -4.0
             return
-        hashed: list[list[np.ndarray]] = [[], []]
-        for lo, hi, raw, off in chunks(pa.array(texts, pa.string())):
-            h, _, _, first = tokens(raw, off)
-            for d in range(lo, hi):
-                if not fold[d]:
-                    hashed[y[d]].append(np.unique(h[first[d - lo] : first[d - lo + 1]]))  # once a text: a repeated word is one witness
-        word, place = np.unique(np.concatenate(hashed[0] + hashed[1]), return_inverse=True)
-        split = sum(map(len, hashed[0]))
-        clean, toxic = (np.bincount(x, minlength=len(word)).astype(float) for x in (place[:split], place[split:]))
+        word, times = np.zeros(0, np.uint64), np.zeros((0, 2))  # in how many clean and toxic texts a word stands
+        at = 0
+        for part in _some(texts):
+            found: list[list[np.ndarray]] = [[], []]
+            for lo, hi, raw, off in chunks(part):
+                h, _, _, first = tokens(raw, off)
+                for d in range(lo, hi):
+                    if not fold[at + d]:
+                        found[y[at + d]].append(np.unique(h[first[d - lo] : first[d - lo + 1]]))  # once a text: a repeated word is one witness
+            at += len(part)
+            new = np.concatenate([word, *found[0], *found[1]])
+            old, (n, m) = len(word), (sum(map(len, x)) for x in found)
+            word, place = np.unique(new, return_inverse=True)
+            total = np.zeros((len(word), 2))
+            total[place[:old]] = times
+            total[:, 0] += np.bincount(place[old : old + n], minlength=len(word))
+            total[:, 1] += np.bincount(place[old + n : old + n + m], minlength=len(word))
+            times = total
+        clean, toxic = times.T
         prior = PRIOR * (clean + toxic) / (clean.sum() + toxic.sum())
         odds = [np.log((c + prior) / (c.sum() + PRIOR - c - prior)) for c in (clean, toxic)]
         delta = odds[1] - odds[0]
@@ -101,8 +137,8 @@ class Model:
         self.word, self.score = word[counts], np.minimum(delta[counts], CEILING) - DRIFT
         self._calibrate(texts, y, fold, inverse_rates(y, stands_for))
 
-    def _calibrate(self, texts: list[str], y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> None:
-        seen = list(self._segments(pa.array(texts, pa.string())))
+    def _calibrate(self, texts: Iterable[str], y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> None:
+        seen = [(n, own, hits) for part in _some(texts) for n, own, hits, _ in self._segments(part)]
         clean = [s for s, t in zip(seen, y, strict=True) if t == 0]
         n = sum(s[0] for s in clean)
         hits = np.concatenate([s[2] for s in clean] or [np.zeros(0)])
@@ -145,7 +181,7 @@ class Model:
         n, segments = seen[0], seen[1]
         best = max((self.log_p(n, s) for _, _, s in segments), default=0.0)
         passages = sum(max(0.0, self.rate * s - np.log(max(self.k * n, 1e-12))) for _, _, s in segments if self.log_p(n, s) >= -np.log(SIGNIFICANT))
-        return min(best, 30.0), float(np.log1p(passages))
+        return min(best, MOST), float(np.log1p(passages))
 
     def of(self, col: pa.Array) -> Iterator[tuple[float, list[dict]]]:
         """(score, significant passages as byte spans) of each text."""
@@ -177,11 +213,19 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fitted in the driver on a bounded number of whole texts, which are read some at a time; it keeps counts of words and each text's segments."""
     sample, stands_for = labelled(docs, labels, "toxic", 4, 2, FIT_ROWS)
-    return Model([r["text"] for r in sample], [r["label"] for r in sample], stands_for)
+    rows = Scratch(docs.sparkSession, "toxic").cut(sample)
+    known = sorted(map(tuple, rows.select("id", "label").collect()))
+    return Model(Stored(rows.orderBy("id", "label", "text").select("text")), [k for _, k in known], stands_for)
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and the number of significant passages of every document.
+
+    Null and empty texts get the score of a text without passages, very long ones are scanned whole, equal texts get
+    equal scores, a null id is not held out; an empty table gives an empty one. A score of 0.3 predicts 1.
+    """
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

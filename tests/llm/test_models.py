@@ -1,10 +1,13 @@
 """Operators that learn or rewrite: held-out accuracy, brute force of their parts, and odd rows."""
 
+import math
 import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
 
 from glyphmill.llm import language_id, pii_surrogates, quality, toxicity
 from glyphmill.llm.common import Scratch
@@ -38,27 +41,52 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) >= 0.97
 
 
-def test_forward_sums_all_segmentations():
-    model = language_id.Model(["the there then", "der die das über"], ["en", "de"])
-    vocabulary = language_id.pieces()
-    word = " thereön".encode()
-    raw = np.frombuffer(word, np.uint8)
-    got = language_id.Lattice(raw, np.array([0]), np.array([len(raw)]), vocabulary).forward(model.scaled)[-1]
-
-    def number(piece):
-        one = np.frombuffer(piece, np.uint8)
-        if len(piece) == 1:
-            return piece[0]
-        from glyphmill.llm.textscan import prefix_hash, slice_hash
-
-        return int(vocabulary(slice_hash(prefix_hash(one), np.array([0]), np.array([len(one)])))[0])
-
-    def total(at, g):
-        if at == len(word):
-            return 1.0
-        return sum(model.scaled[k, g] * total(at + n, g) for n in range(1, min(16, len(word) - at) + 1) if (k := number(word[at : at + n])) >= 0)
-
-    assert np.allclose(got, [total(0, g) for g in range(2)])
+def language_model():
+    return language_id.Model(language_id.count_words(pa.array(["the there then", "der die das über"]), ["en", "de"]))
+
+
+def all_segmentations(word, model):
+    """Log of the sum over all segmentations, by the definition, place by place in exact scale."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(language_id.VOCABULARY))
+    names = {bytes([i]): i for i in range(256)}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
+            piece = sp.id_to_piece(i).replace("▁", " ").encode()
+            if len(piece) > 1 and b" " not in piece[1:]:
+                names.setdefault(piece, len(names))
+    longest = max(map(len, names))
+    logs = [[0.0] * 2]
+    for end in range(1, len(word) + 1):
+        terms = [[], []]
+        for size in range(1, min(longest, end) + 1):
+            k = names.get(word[end - size : end])
+            if k is not None:
+                for g in range(2):
+                    terms[g].append(logs[end - size][g] + math.log(model.scaled[k, g]))
+        logs.append([max(t) + math.log(sum(math.exp(x - max(t)) for x in t)) for t in terms])
+    return logs[-1]
+
+
+@pytest.mark.parametrize("word", [" thereön", " " + "überthere" * 22, " 漢字" * 1 + "漢字かな交じり文" * 40, " " + "x" * 3000, " " + "responsibilities" * 30])
+def test_forward_sums_all_segmentations(word):
+    model, vocabulary, raw = language_model(), language_id.pieces(), np.frombuffer(word.encode(), np.uint8)
+    lattice = language_id.Lattice(raw, np.array([0]), np.array([len(raw)]), vocabulary)
+    sums, log = lattice.forward(model.scaled)
+    want = all_segmentations(word.encode(), model)
+    assert np.allclose(np.log(sums[-1]) + log[-1], want)
+    back, back_log = lattice.backward(model.scaled)
+    assert np.allclose(np.log(back[0]) + back_log[0], want)
+
+
+def test_long_words_go_on_from_slice_to_slice(monkeypatch):
+    monkeypatch.setattr(language_id, "LATTICE_BYTES", 200)
+    model, text = language_model(), "überthere" * 150
+    start, raw = np.array([0, 5]), np.frombuffer(b"then " + text.encode(), np.uint8)
+    got = model._scores(raw, start, np.array([4, len(raw)]), language_id.pieces())
+    for k, word in enumerate([" then", " " + text]):
+        assert np.allclose(got[k], np.array(all_segmentations(word.encode(), model)) - len(word.encode()) * math.log(language_id.GAIN))
 
 
 def test_language_of_odd_rows(spark):
@@ -72,6 +100,45 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_dual_descent_against_a_plain_solver():
+    """The hinge loss reached is that of subgradient steps on the primal, and the naive Bayes scale is the log ratio of shares."""
+    rng = np.random.default_rng(5)
+    rows, y = [], []
+    for i in range(60):
+        y.append(1.0 if i % 2 else -1.0)
+        rows.append(np.unique(np.concatenate([rng.choice(30, 6, replace=False), rng.choice(np.arange(30, 40) if i % 2 else np.arange(38, 48), 2, replace=False)])))
+    y, weight, scale = np.array(y), rng.uniform(0.5, 1.5, 60), np.zeros(quality.DIM)
+    scale[:48] = rng.normal(size=48)
+    x = np.zeros((60, 49))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.linalg.norm(scale[r])
+        x[i, 48] = 1.0
+
+    def loss(w):
+        return 0.5 * w @ w + 0.1 * (weight * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    w = quality.descend(rows, y, weight, scale, epochs=400)
+    w = np.append(w[:48], w[-1])
+    plain = np.zeros(49)
+    best = loss(plain)
+    for t in range(1, 60001):
+        plain = plain - (plain - 0.1 * ((weight * (y * (x @ plain) < 1) * y)[:, None] * x).sum(0)) / t
+        best = min(best, loss(plain))
+    assert loss(w) <= best + 1e-6 and best - loss(w) < 1e-3
+
+    texts = ["aaa bbb", "aaa ccc", "ddd bbb", "ddd eee"] * 40
+    model = quality.Model(list(quality.packed(pa.array(texts))), [1, 1, 0, 0] * 40)
+    good, bad = model.scores(pa.array(["aaa xyz", "ddd xyz"]))
+    assert good > 0.5 > bad
+
+
+def test_share_of_any_number_of_rows():
+    from glyphmill.llm import fit
+
+    for n in (1, 400, 401, 10**7, 10**11, 10**15):
+        assert abs(fit.share(n, 400) / fit.SPOTS * n - min(n, 400)) < 1
+
+
 def test_maximal_segments_against_recursion():
     rng = random.Random(5)
 
