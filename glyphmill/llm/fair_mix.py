@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
 A source's documents stand in a keyed order; one pass over them may follow another, up to
-``passes``. A document's virtual finish time is the tokens of its source up to and with it,
+``PASSES``. A document's virtual finish time is the tokens of its source up to and with it,
 divided by the source's target. All entries are put in one order of finish times and cut at
 the total budget.
 
-Both running sums are two-level, so that no task holds a source or the corpus: 4,096 key
-prefixes of each source are summed first and carry the offset of what stands before them; and
-finish times fall into bins of which only the one that the budget ends in is sorted.
+Running sums are two-level, so that no task holds a source or the corpus: rows are range-sorted, each range is
+summed, and a row's sum is that of the ranges before its own and of the rows before it. The place where the budget
+ends is found by histograms of finish times, each over the one bin of the last that it ends in, until few
+entries are left to be sorted.
 """
 
 from __future__ import annotations
@@ -16,36 +17,138 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, hot_join, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix takes, in halves; and the passes over a source at most.
 BUDGET_HALVES, PASSES = 3, 2
 KEY = "mix-1"
-BINS = 8192
+#: Bins of a histogram of finish times; entries that are sorted in one task in the end.
+BINS, EDGE_ROWS = 4096, 10_000
+#: Sources, and characters of their names, up to which their table is broadcast; above, it is joined by source.
+BROADCAST_SOURCES, BROADCAST_CHARS = 10_000, 1 << 22
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sources: DataFrame) -> DataFrame:
-    """(skey, source_size, target) of (source, skey, source_size): weights' shares of the budget, none above
-    ``PASSES`` times its source, what is over being shared out anew by weight.
+def running(df: DataFrame, order: list[str], values: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """``df`` with columns of running sums, up to and with each row, of ``values`` in the order of columns that tell its rows apart."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    totals = dealt.groupBy("__part").agg(*(F.sum(v).alias(k) for k, v in values.items()))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    before = totals.select("__part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"__before_{k}") for k in values))
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.select("*", *(F.sum(v).over(inside).alias(k) for k, v in values.items())).join(F.broadcast(before), "__part")
+    return summed.select(*df.columns, *((F.col(k) + F.col(f"__before_{k}")).alias(k) for k in values))
+
+
+def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """(skey, source_size, start, target) of (skey, source_size): sizes of all sources before, and weights' shares of the
+    budget, none above ``PASSES`` times its source, what is over being shared out anew by weight.
 
     Sources in order of the level at which they are full: one stays full if the level, were all
     before it full, is not below its own. The sums are of integers, so the order of adding does not show.
     """
-    by_name, by_level = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("level", "skey")
-    before, after = by_level.rowsBetween(W.unboundedPreceding, -1), by_level.rowsBetween(0, W.unboundedFollowing)
-    s = sources.withColumn("n", F.row_number().over(by_name) - 1)
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("n") % len(WEIGHTS) + 1).cast("int")).cast("long"))
+    s = running(sources, ["skey"], {"n": F.lit(1), "upto": F.col("source_size")}, scratch)
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("n") - 1) % len(WEIGHTS) + 1).cast("int")).cast("long"))
     s = s.withColumn("level", F.col("source_size") * PASSES / F.col("w"))
-    s = s.withColumn("rest", BUDGET_HALVES * F.sum("source_size").over(W.partitionBy()) - 2 * PASSES * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-    s = s.withColumn("rest_w", F.sum("w").over(after))
+    s = scratch.cut(running(s, ["level", "skey"], {"sizes": F.col("source_size"), "weights": F.col("w")}, scratch))
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    s = s.withColumn("rest", F.lit(BUDGET_HALVES * (whole["size"] or 0)) - 2 * PASSES * (F.col("sizes") - F.col("source_size")))
+    s = s.withColumn("rest_w", F.lit(whole["w"] or 0) - F.col("weights") + F.col("w"))
     s = s.withColumn("full", F.col("source_size") * 2 * PASSES * F.col("rest_w") <= F.col("w") * F.col("rest"))
-    first = F.min_by(F.struct("rest", "rest_w"), F.struct("level", "skey")).over(W.partitionBy("full"))
-    s = s.withColumn("at", first)
-    share = (F.col("w") * F.col("at.rest")).cast("double") / (2 * F.col("at.rest_w")).cast("double")
-    return s.select("skey", "source_size", F.when(F.col("full"), (F.col("source_size") * PASSES).cast("double")).otherwise(share).alias("target"))
+    first = s.filter(~F.col("full")).agg(F.min_by(F.struct("rest", "rest_w"), F.struct("level", "skey")).alias("at")).first()["at"]
+    share = (F.col("w") * F.lit(first["rest"])).cast("double") / F.lit(2 * first["rest_w"]).cast("double") if first else F.lit(None).cast("double")
+    target = F.when(F.col("full"), (F.col("source_size") * PASSES).cast("double")).otherwise(share)
+    return s.select("skey", "source_size", (F.col("upto") - F.col("source_size")).alias("start"), target.alias("target"))
+
+
+def _finish(k: int) -> Column:
+    """Virtual finish time of pass ``k``."""
+    return F.when(F.col("target") > 0, (k * F.col("source_size") + F.col("cum")).cast("double") / F.col("target"))
+
+
+ORDER = ("finish", "skey", "key", "id", "size", "h", "pass")
+
+
+def edge(entries: DataFrame, budget: int) -> tuple[float, object] | None:
+    """Where the budget (of half tokens) ends among ``entries``: every entry that finishes before the time is taken, and of the
+    others those up to the row, if there is one, in ``ORDER``. None if all fit."""
+    low, high = 0.0, 2.0 * PASSES
+    while True:
+        width = (high - low) / BINS
+        bin_of = F.when(F.col("finish") < low, -1).when(F.col("finish") >= high, BINS).otherwise(F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1)).cast("int"))
+        bins = {r["bin"]: r for r in entries.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("finish").alias("most")).collect()}  # BINS + 2 rows at most
+        total, cut = 0, None
+        for b in sorted(bins):
+            if (total + bins[b]["size"]) * 2 > budget:
+                cut = b
+                break
+            total += bins[b]["size"]
+        if cut is None:
+            return None
+        if cut == BINS:  # later than thought
+            low, high = high, max(2 * high, bins[BINS]["most"] * 1.001)
+            continue
+        few = sum(bins[b]["n"] for b in (cut - 1, cut, cut + 1) if 0 <= b < BINS and b in bins)
+        # a bin to either side, as times are rounded when they are put into bins
+        now = max(low, low + (cut - 1) * width), min(high, low + (cut + 2) * width)
+        if few <= EDGE_ROWS or now == (low, high):
+            low, high = now
+            break
+        low, high = now
+    before = entries.filter(F.col("finish") < low).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    line = F.sum("size").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)) + before
+    inside = entries.filter((F.col("finish") >= low) & (F.col("finish") < high))
+    last = inside.withColumn("line", line).filter(F.col("line") * 2 <= budget).orderBy(*(F.col(c).desc() for c in ORDER)).first()
+    return low, last
+
+
+def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """A written row per row of ``df``: (id, skey, h, size, source_size, target, copies), h being a hash of the text."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "mix")
+    text = F.col(f"`{text_col}`").cast("string")
+    sized = scratch.cut(
+        df.select(
+            F.col(f"`{id_col}`").alias("id"),
+            _source_key(source_col).alias("skey"),
+            F.xxhash64(text).alias("h"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
+        ).withColumn("key", F.md5(F.concat(F.lit(f"{KEY}/"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
+    )
+    sizes = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"))
+    sizes = scratch.cut(sizes)
+    sources = scratch.cut(targets(sizes.drop("__rows"), scratch))
+    placed = running(sized, ["skey", "key", "id", "size", "h"], {"upto": F.col("size")}, scratch)
+    names = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("skey")), F.lit(0)).alias("chars")).first()
+    if names["n"] <= BROADCAST_SOURCES and names["chars"] <= BROADCAST_CHARS:
+        placed = placed.join(F.broadcast(sources), "skey")
+    else:
+        placed = hot_join(placed, sources, ["skey"], ["key", "h"], rows=sizes.select("skey", "__rows"))
+    placed = scratch.cut(placed.select("id", "skey", "key", "h", "size", "source_size", "target", (F.col("upto") - F.col("start")).alias("cum")))
+
+    passes = F.explode(F.array(*(F.struct(F.lit(k).alias("pass"), _finish(k).alias("finish")) for k in range(PASSES))))
+    entries = placed.filter("size > 0").select("skey", "key", "id", "size", "h", passes.alias("e")).select("skey", "key", "id", "size", "h", "e.*")
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")).first()["total"]
+    end = edge(entries, BUDGET_HALVES * total)
+    taken = []
+    for k in range(PASSES):
+        if end is None:
+            taken.append(F.lit(True))
+            continue
+        low, last = end
+        mine = F.lit(False)
+        if last:  # ids compare as the window ordered them; a null id stands first
+            mine = F.struct(_finish(k), "skey", "key", "id", "size", "h", F.lit(k)) <= F.struct(*(F.lit(last[c]).cast(entries.schema[c].dataType) for c in ORDER))
+        taken.append((_finish(k) < low) | mine)
+    copies = F.when(F.col("size") > 0, sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))).otherwise(0)
+    return placed.select("id", "skey", "h", "size", "source_size", "target", copies.alias("copies"))
+
+
+def _source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("t"))  # t: after every source
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -53,75 +156,42 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     A null text has size 0, as an empty one; a document of size 0 is never taken. A null source
     is a source of its own, after all others. A null id is ordered as an empty one. Repeated rows
-    are rows of their own. An empty table gives an empty one. Only the three columns are read.
-    Ties in finish time go by source, key, id, size and pass.
+    are rows of their own. An empty table gives an empty one. Only the three columns are read, texts whole.
+    Ties in finish time go by source, key, id, size, text and pass.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mix")
-    sized = scratch.cut(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-        )
-        .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))  # t: after every source
-        .withColumn("key", F.md5(F.concat(F.lit(f"{KEY}/"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
-        .withColumn("part", F.substring("key", 1, 3))
-    )
-    parts = sized.groupBy("source", "skey", "part").agg(F.sum("size").alias("part_size"))
-    parts = scratch.cut(parts)
-    sources = targets(parts.groupBy("source", "skey").agg(F.sum("part_size").alias("source_size")))
-    before = F.sum("part_size").over(W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = parts.withColumn("offset", F.coalesce(before, F.lit(0))).select("skey", "part", "offset").join(sources, "skey")
-    in_part = W.partitionBy("skey", "part").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = sized.withColumn("so_far", F.sum("size").over(in_part)).join(offsets, ["skey", "part"])
-    placed = scratch.cut(placed.select("id", "skey", "key", "size", "source_size", "target", (F.col("offset") + F.col("so_far")).alias("cum")))
-
-    def finish(k: int) -> Column:
-        return F.when(F.col("target") > 0, (k * F.col("source_size") + F.col("cum")).cast("double") / F.col("target"))
-
-    # the total budget is met close to finish time 1, where every source has its target
-    entries = placed.filter("size > 0").select("skey", "key", "id", "size", F.explode(F.array(*(F.struct(F.lit(k).alias("pass"), finish(k).alias("finish")) for k in range(PASSES)))).alias("e")).select("skey", "key", "id", "size", "e.*")
-    entries = entries.withColumn("bin", F.least(F.floor(F.col("finish") * (BINS // 2)), F.lit(2 * BINS)).cast("int"))
-    bins = entries.groupBy("bin").agg(F.sum("size").alias("bin_size"))
-    running = F.sum("bin_size").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")).first()["total"]
-    budget = BUDGET_HALVES * total  # of half tokens
-    edge = bins.withColumn("upto", running).filter(F.col("upto") * 2 > budget).orderBy("bin").select("bin", (F.col("upto") - F.col("bin_size")).alias("before")).first()
-    order = ("finish", "skey", "key", "id", "size", "pass")
-    taken = [F.lit(True)] * PASSES
-    if edge:
-        line = F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + edge["before"]
-        last = entries.filter(F.col("bin") == edge["bin"]).withColumn("line", line).filter(F.col("line") * 2 <= budget).orderBy(*(F.col(c).desc() for c in order)).first()
-        at = F.floor  # the bin of an entry is compared first, then the order inside the edge bin
-        for k in range(PASSES):
-            bin_k = F.least(at(finish(k) * (BINS // 2)), F.lit(2 * BINS)).cast("int")
-            inside = F.lit(False)
-            if last:
-                # ids compare as the window ordered them; a null id stands first
-                mine = F.struct(finish(k), "skey", "key", F.col("id"), "size", F.lit(k))
-                edge_id = F.lit(last["id"]).cast(placed.schema["id"].dataType)
-                inside = mine <= F.struct(F.lit(last["finish"]), F.lit(last["skey"]), F.lit(last["key"]), edge_id, F.lit(last["size"]).cast("long"), F.lit(last["pass"]))
-            taken[k] = (bin_k < edge["bin"]) | ((bin_k == edge["bin"]) & inside)
-    copies = F.when(F.col("size") > 0, sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))).otherwise(0)
-    out = placed.withColumn("copies", copies)
+    out = _mixed(df, id_col, text_col, source_col)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that the mix takes, each as often as it takes it. Rows of one id go by the most copies of any."""
-    copies = mix(df, id_col, text_col, source_col).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("copies")).select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    out = df.join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(df[c] for c in df.columns))
+    """The rows of ``df`` that the mix takes, each as often as it takes it; columns may have any name.
+
+    It goes by rows: those equal in id, source and text are taken as often, together, as the mix says; where the budget
+    ends among them, those whose columns' hash is least come first.
+    """
+    mixed = _mixed(df, id_col, text_col, source_col)
+    groups = mixed.groupBy("id", "skey", "h").agg(F.count("*").alias("n"), *(F.sum((F.col("copies") > k).cast("long")).alias(f"n{k}") for k in range(PASSES))).filter("n0 > 0")
+    groups = Scratch(df.sparkSession, "mix").cut(groups).withColumnsRenamed({"id": "g_id", "skey": "g_skey", "h": "g_h"})
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), _source_key(source_col).alias("skey"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
+    rows = rows.join(groups, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("skey") == F.col("g_skey")) & (F.col("h") == F.col("g_h"))).drop("g_id", "g_skey", "g_h")
+    whole = " AND ".join(f"n{k} IN (0, n)" for k in range(PASSES))
+    out = rows.filter(whole).withColumn("copies", sum((F.col(f"n{k}") > 0).cast("int") for k in range(PASSES)))
+    if groups.filter(f"NOT ({whole})").limit(1).count():  # the groups that the budget ends in
+        nth = F.row_number().over(W.partitionBy("id", "skey", "h").orderBy(F.xxhash64(F.to_json("row"))))
+        split = rows.filter(f"NOT ({whole})").withColumn("nth", nth)
+        out = out.unionByName(split.withColumn("copies", sum((F.col("nth") <= F.col(f"n{k}")).cast("int") for k in range(PASSES))).drop("nth").filter("copies > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
 
 
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of documents: its docstring says what becomes of odd rows."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS skey, source,
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce('s' || source, 't') AS skey, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS size,
          md5('{KEY}/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM documents),
@@ -137,12 +207,12 @@ s5 AS (SELECT *, first_value(rest) OVER (PARTITION BY is_full ORDER BY level, sk
 targets AS (SELECT skey, source_size,
          CASE WHEN is_full THEN CAST(source_size * 2 AS DOUBLE) ELSE CAST(w * at_rest AS DOUBLE) / CAST(2 * at_w AS DOUBLE) END AS target FROM s5),
 placed AS (SELECT s.*, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY skey ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+         sum(size) OVER (PARTITION BY skey ORDER BY key, doc_id, size, row_no ROWS UNBOUNDED PRECEDING) AS cum
   FROM sized s JOIN targets t USING (skey)),
 entries AS (SELECT p.*, k, CAST(k * source_size + cum AS DOUBLE) / target AS finish FROM placed p, (VALUES (0), (1)) AS passes(k) WHERE size > 0),
-line AS (SELECT doc_id, size, 2 * sum(size) OVER (ORDER BY finish, skey, key, doc_id, size, k ROWS UNBOUNDED PRECEDING)
+line AS (SELECT row_no, size, 2 * sum(size) OVER (ORDER BY finish, skey, key, doc_id, size, cum, k ROWS UNBOUNDED PRECEDING)
          <= 3 * (SELECT sum(size) FROM sized) AS is_taken FROM entries),
-got AS (SELECT doc_id, count(*) FILTER (is_taken) AS copies FROM line GROUP BY doc_id)
+got AS (SELECT row_no, count(*) FILTER (is_taken) AS copies FROM line GROUP BY row_no)
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(p.size * coalesce(g.copies, 0) AS BIGINT) AS taken, CAST(coalesce(g.copies, 0) AS INTEGER) AS copies
-FROM placed p LEFT JOIN got g USING (doc_id)
+FROM placed p LEFT JOIN got g USING (row_no)
 """

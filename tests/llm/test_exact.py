@@ -54,12 +54,66 @@ def test_op2(spark, tmp_path, reference_encoding):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def documents(spark, texts, **more):
+    """Documents with ids from 0 on; ``more`` has other ids, sources."""
+    n = len(texts)
+    ids, sources = more.get("ids", range(n)), more.get("sources", ["a"] * n)
+    return spark.createDataFrame([(i, t, "en", s, 1, *[None] * 10) for i, t, s in zip(ids, texts, sources, strict=True)], odd_documents(spark).schema)
+
+
 def test_op9_op10_against_sql(spark, tmp_path):
-    where = write(spark, tmp_path, documents=odd_documents(spark, null_id=False, repeated=False))
+    where = write(spark, tmp_path, documents=odd_documents(spark))
     same_rows(license_scan.op9_license_scan(spark, where), *duck(where, license_scan.ORACLE, "documents"))
     same_rows(fair_mix.op10_fair_mix(spark, where), *duck(where, fair_mix.ORACLE, "documents"))
 
 
+def test_op9_wrapped_notices(spark, tmp_path):
+    """Notices wrapped at any width, among prose, with a word or two missing; and a letter that only Unicode lower-cases to k."""
+    rng = random.Random(11)
+    texts = ["wor\u212a is licensed under the gnu general public license version 3", "this work is licensed under the gnu\ngeneral public license version 3"]
+    for label, t in license_scan.TEMPLATES.items():
+        for missing in (0, 1, 30):
+            words = [w.upper() if rng.random() < 0.3 else w for w in t.split()]
+            for _ in range(min(missing, len(words) // 2)):
+                words.pop(rng.randrange(len(words)))
+            cut = "".join(w + rng.choice([" ", " ", "\r\n # ", ", "]) for w in words)
+            texts.append(prose(rng, rng.randint(0, 300)) + "\n" + cut + "\n" + prose(rng, rng.randint(0, 300)))
+    where = write(spark, tmp_path, documents=documents(spark, texts))
+    got = license_scan.op9_license_scan(spark, where)
+    same_rows(got, *duck(where, license_scan.ORACLE, "documents"))
+    labels = {r.doc_id: r.labels.split(",") for r in got.collect()}
+    assert "gpl-3.0" not in labels[0] and "gpl-3.0" in labels[1]
+    for k, label in enumerate(license_scan.TEMPLATES):
+        assert label in labels[2 + 3 * k] and label not in labels[4 + 3 * k]
+
+
+@pytest.mark.parametrize("edge_rows", [10_000, 3])
+def test_op10_ids_sources_and_the_edge(spark, tmp_path, monkeypatch, edge_rows):
+    """Null and repeated ids, more sources than are broadcast, and the budget's end found in ever smaller bins."""
+    monkeypatch.setattr(fair_mix, "EDGE_ROWS", edge_rows)
+    monkeypatch.setattr(fair_mix, "BINS", 8)
+    monkeypatch.setattr(fair_mix, "BROADCAST_SOURCES", 5)
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(0, 30)) for _ in range(400)]
+    where = write(spark, tmp_path, documents=documents(spark, texts, ids=[rng.choice([None, i % 50, i, i, i]) for i in range(400)], sources=[rng.choice([None, *"aaaaaaaabcdefgh"]) for _ in range(400)]))
+    same_rows(fair_mix.op10_fair_mix(spark, where), *duck(where, fair_mix.ORACLE, "documents"))
+
+
+def test_mix_rows_takes_what_the_mix_says(spark):
+    """Of rows of one id each is taken by itself; with equal rows, and names that clash."""
+    rng = random.Random(7)
+    texts = [f"w{i} " + prose(rng, rng.randint(1, 9)) for i in range(12)]
+    rows = [(None, texts[0], "a", 1), (None, texts[1], "a", 2), (None, texts[2], "b", 3), (7, texts[3], "a", 4), (7, texts[4], "a", 5), *[(8, texts[5], "a", k) for k in range(9)], *[(20 + k, t, "b", 0) for k, t in enumerate(texts[6:])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").repartition(3)
+    mixed = fair_mix.mix(df).toPandas()
+    got = fair_mix.mix_rows(df)
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sum(len(r[1].split()) for r in kept) == mixed.taken.sum() <= 1.5 * sum(len(r[1].split()) for r in rows)
+    assert all(kept.count(r) <= 2 for r in rows) and set(kept) <= set(rows)
+    assert sorted(kept, key=repr) == sorted(map(tuple, fair_mix.mix_rows(df.repartition(2)).collect()), key=repr)
+
+
 def test_op5_against_sql(spark, tmp_path):
     rng = random.Random(5)
     texts = []
