@@ -3,7 +3,7 @@
 Equal vectors form a class. Centroids of a bounded sample cut the classes into overlapping
 shards: a class belongs to its nearest centroid (its home) and to others about as near. Each
 shard keeps, per vector, a robust-pruned list of neighbours with reverse edges; lists of a
-vector from all its shards are united. A shard is searched with the vectors that united lists
+vector from all its shards are united. A shard is searched with the near vectors that united lists
 lead to outside of it: from the shard's medoid (and the query's own node) a greedy search walks
 to the query, then expands as long as nodes lie in range. Every hit is verified in double precision.
 A vector whose candidates all lie in range has not seen its whole neighbourhood: it is compared with
@@ -11,8 +11,9 @@ all of its cell, as are the queries of shards cut into blocks. The others keep e
 A recall audit against brute force follows; below its goal, shards are built with more overlap, and
 then all vectors are compared block by block.
 
-Hits are counted and united inside a shard; pairs are never emitted. A shard beyond ``CAP``
-vectors, as a third of all rows in one dense spot would give, is cut into blocks, and each block
+Hits are counted and united inside a shard; pairs are never emitted. A shard that is home to more than ``CAP``
+vectors is parted anew by centroids of its own sample, so that shards grow in number and not in size. What
+cannot be parted, as a third of all rows in one dense spot, is cut into blocks, and each block
 of queries meets each block of data.
 """
 
@@ -33,8 +34,8 @@ COSINE = 0.95
 SLACK = 0.88
 #: Vectors that centroids are fitted on; centroids; vectors at home in a shard on average.
 SAMPLE, MOST_SHARDS, PER_SHARD = 16_384, 4_096, 1_000
-#: Vectors of a shard that one task holds.
-CAP = 12_000
+#: Vectors of a shard that one task holds; times that a shard is parted; parts, and vectors that their centroids are fitted on.
+CAP, LEVELS, PARTS, PART_SAMPLE = 12_000, 3, 1024, 8_192
 #: A vector joins its OVERLAP nearest shards, as far as their centroids are less than MARGIN of cosine farther than the nearest.
 OVERLAP, MARGIN = 4, 0.12
 CANDIDATES, DEGREE, ALPHA, BEAM = 40, 12, 1.2, 24
@@ -59,12 +60,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def prune(v: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Neighbour lists of one shard's unit vectors: the nearest, robustly pruned, with reverse edges; which vectors have more in range than candidates."""
+def prune(v: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Neighbour lists of one shard's unit vectors: the nearest, robustly pruned, with reverse edges; those of them
+    within SLACK; which vectors have more in range than candidates."""
     n = len(v)
     c = min(CANDIDATES, n - 1)
     if c < 1:
-        return [np.zeros(0, np.int64) for _ in range(n)], np.zeros(n, bool)
+        none = [np.zeros(0, np.int64) for _ in range(n)]
+        return none, none, np.zeros(n, bool)
     src, dst, crowded = [], [], np.zeros(n, bool)
     for i in range(0, n, 256):
         sim = v[i : i + 256] @ v.T
@@ -90,8 +93,10 @@ def prune(v: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     a, b = np.concatenate(src), np.concatenate(dst)
     # all reverse edges: a hub keeps each node that leans on it, else those could not be reached
     both = np.unique(np.concatenate([a * n + b, b * n + a]))
-    at = np.searchsorted(both // n, np.arange(n + 1))
-    return [both[at[i] : at[i + 1]] % n for i in range(n)], crowded
+    a, b = both // n, both % n
+    close = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 65536]], v[b[i : i + 65536]]) >= SLACK for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+    lists = lambda a, b: np.split(b, np.searchsorted(a, np.arange(1, n)))
+    return lists(a, b), lists(a[close], b[close]), crowded
 
 
 def search(q: np.ndarray, v: np.ndarray, adjacent: list[np.ndarray], entries: list[int], seen: np.ndarray, mark: int) -> np.ndarray:
@@ -130,8 +135,33 @@ def _build(t: pa.Table) -> pa.Table:
     ids = t.column("id").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    near, crowded = prune(unit(_matrix(t.column("v"))[order]))
-    return pa.table({"id": ids, "nbrs": pa.array([ids[x] for x in near], pa.list_(pa.int64())), "crowded": crowded})
+    lists, near, crowded = prune(unit(_matrix(t.column("v"))[order]))
+    kind = pa.list_(pa.int64())
+    return pa.table({"id": ids, "nbrs": pa.array([ids[x] for x in lists], kind), "near": pa.array([ids[x] for x in near], kind), "crowded": crowded})
+
+
+class Union:
+    """Sets of numbered nodes; ``label`` is the least number of each node's set as of the last ``settle``."""
+
+    def __init__(self, n: int):
+        self.parent, self.label, self.loose = np.arange(n), np.arange(n), False
+
+    def join(self, a: int, b: int) -> None:
+        while self.parent[a] != a:
+            a = self.parent[a]
+        while self.parent[b] != b:
+            b = self.parent[b]
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.loose = True
+
+    def settle(self) -> np.ndarray:
+        while self.loose:
+            up = self.parent[self.parent]
+            self.loose = bool((up != self.parent).any())
+            self.parent = up
+        self.label = self.parent[self.label]
+        return self.label
 
 
 def _find(t: pa.Table) -> pa.Table:
@@ -142,54 +172,115 @@ def _find(t: pa.Table) -> pa.Table:
     queries = rows[rows.is_q].drop_duplicates("id")
     if not len(queries) or not len(data):
         return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    raw = np.stack([np.frombuffer(x, "<f8") for x in data.v])
-    raw = raw / np.abs(raw).max(1, keepdims=True)
-    squares = np.einsum("ij,ij->i", raw, raw)
-    v, ids, mult = raw / np.sqrt(squares)[:, None], data.id.to_numpy(), data.mult.to_numpy()
-    adjacent = []
-    for x in data.nbrs:
-        if x is None or not len(x):
-            adjacent.append(np.zeros(0, np.int64))
-            continue
-        at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-        adjacent.append(at[ids[at] == x])
-    medoid = int((v @ v.mean(0)).argmax())
-    seen = np.full(len(ids), -1, np.int64)
-    every = np.unique(np.concatenate([ids, queries.id.to_numpy()]))
-    parent = {int(i): int(i) for i in every}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    whole = np.flatnonzero(queries.crowded.to_numpy(bool))
-
-    def compared() -> Iterator[np.ndarray]:
-        """Nodes near each query of ``whole``, from all nodes."""
-        for a in range(0, len(whole), 256):
-            q = unit(np.stack([np.frombuffer(x, "<f8") for x in queries.v.iloc[whole[a : a + 256]]]))
-            yield from (np.flatnonzero(s >= COSINE - 1e-9) for s in q @ v.T)
-
-    exact, by_comparison = compared(), set(whole.tolist())
-    out = {}
-    for k, (i, x) in enumerate(zip(queries.id.tolist(), queries.v, strict=True)):
-        q = np.frombuffer(x, "<f8")
-        q = q / np.abs(q).max()
-        own = int(np.searchsorted(ids, i))
-        known = own < len(ids) and ids[own] == i
-        hits = next(exact) if k in by_comparison else search(q / np.sqrt(q @ q), v, adjacent, [medoid, own] if known else [medoid], seen, k)
-        hits = hits[(raw[hits] @ q) / np.sqrt(squares[hits] * (q @ q)) >= COSINE] if len(hits) else hits
-        hits = hits[ids[hits] != i]
-        out[i] = int(mult[hits].sum())
-        if len(hits):
-            tops = {root(i)} | {root(j) for j in ids[hits].tolist()}
-            low = min(tops)
-            for x in tops:
-                parent[x] = low
-    found = [(i, out.get(i), r) for i in every.tolist() if (r := root(i)) != i or i in out]
-    return pa.table({"id": pa.array([x[0] for x in found], pa.int64()), "links": pa.array([x[1] for x in found], pa.int64()), "root": pa.array([x[2] for x in found], pa.int64())})
+    scaled = lambda col: (x := np.stack([np.frombuffer(v, "<f8") for v in col])) / np.abs(x).max(1, keepdims=True)
+    raw, asked = scaled(data.v), scaled(queries.v)
+    squares, sizes = np.einsum("ij,ij->i", raw, raw), np.einsum("ij,ij->i", asked, asked)
+    v, ids, mult, q_ids = raw / np.sqrt(squares)[:, None], data.id.to_numpy(), data.mult.to_numpy(), queries.id.to_numpy()
+    every = np.unique(np.concatenate([ids, q_ids]))
+    node, q_node = np.searchsorted(every, ids), np.searchsorted(every, q_ids)
+    own = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
+    own = np.where(ids[own] == q_ids, own, -1)
+    links, sets = np.zeros(len(q_ids), np.int64), Union(len(every))
+    crowded = queries.crowded.to_numpy(bool)
+
+    def exactly(k: int, hits: np.ndarray) -> np.ndarray:
+        return (raw[hits] @ asked[k]) / np.sqrt(squares[hits] * sizes[k]) >= COSINE
+
+    whole = np.flatnonzero(crowded)
+    for a in range(0, len(whole), 256):  # compared with all nodes, a block of queries at a time
+        ks = whole[a : a + 256]
+        cosine = (asked[ks] / np.sqrt(sizes[ks])[:, None]) @ v.T
+        hit = cosine >= COSINE
+        for r, c in np.argwhere(np.abs(cosine - COSINE) < 1e-9).tolist():
+            hit[r, c] = exactly(ks[r], np.array([c]))[0]
+        known = own[ks] >= 0
+        hit[np.flatnonzero(known), own[ks[known]]] = False
+        links[ks] = hit @ mult
+        label = sets.settle()
+        of_node = label[node]
+        some = np.flatnonzero(hit.any(1))
+        least = np.minimum(np.where(hit[some], of_node, len(every)).min(1), label[q_node[ks[some]]])
+        r, c = np.nonzero(hit[some] & (of_node != least[:, None]))
+        pairs = np.concatenate([of_node[c] * len(every) + least[r], label[q_node[ks[some]]] * len(every) + least])
+        for p in np.unique(pairs).tolist():
+            sets.join(p // len(every), p % len(every))
+    rest = np.flatnonzero(~crowded)
+    if len(rest):
+        adjacent = []
+        for x in data.nbrs:
+            if x is None or not len(x):
+                adjacent.append(np.zeros(0, np.int64))
+                continue
+            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+            adjacent.append(at[ids[at] == x])
+        medoid = int((v @ v.mean(0)).argmax())
+        seen = np.full(len(ids), -1, np.int64)
+        for k in rest.tolist():
+            hits = search(asked[k] / np.sqrt(sizes[k]), v, adjacent, [medoid, int(own[k])] if own[k] >= 0 else [medoid], seen, k)
+            hits = hits[(hits != own[k]) & exactly(k, hits)] if len(hits) else hits
+            links[k] = mult[hits].sum()
+            for h in node[hits].tolist():
+                sets.join(int(q_node[k]), h)
+    root = every[sets.settle()]
+    is_query = np.zeros(len(every), bool)
+    is_query[q_node] = True
+    count = np.zeros(len(every), np.int64)
+    count[q_node] = links
+    shown = np.flatnonzero(is_query | (root != every))
+    return pa.table({"id": every[shown], "links": pa.array(count[shown], pa.int64(), mask=~is_query[shown]), "root": root[shown]})
+
+
+def _parted(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``placed`` with every shard that is home to more than CAP vectors parted by centroids of its own sample, as far as that
+    makes it smaller. A vector at home in it joins the nearest parts as it joined shards; others join the nearest alone."""
+    done = None
+    for _ in range(LEVELS):
+        sizes = scratch.cut(placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")))
+        large = sizes.filter(F.col("homes") > CAP)
+        if not large.limit(1).count():
+            break
+        large = scratch.cut(large.select("shard", "n", "homes", F.least(F.lit(PARTS), F.ceil(F.col("homes") / PER_SHARD)).cast("int").alias("k"), F.ceil(F.col("n") / CAP).cast("int").alias("nb")))
+        some = placed.filter("home").join(F.broadcast(large), "shard")  # fewer rows than vectors / CAP
+        some = some.filter(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 40)) < F.least(F.lit(1.0), PART_SAMPLE / F.col("homes")) * (1 << 40))
+
+        def fitted(t: pa.Table) -> pa.Table:
+            x = unit(_matrix(t.column("v"))[np.argsort(t.column("id").to_numpy())])
+            c = centroids(x, min(t.column("k")[0].as_py(), max(1, len(x) // 4)))
+            near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+            # a spot that centroids do not part stays whole
+            return pa.table({"shard": t.column("shard")[:1], "c": pa.array([c.astype("<f8").tobytes()] if np.bincount(near).max() < 0.75 * len(x) else [None], pa.binary())})
+
+        centers = scratch.cut(some.groupBy("shard").applyInArrow(fitted, "shard long, c binary").filter("c IS NOT NULL"))
+        parting = large.join(centers.select("shard"), "shard", "left_semi")
+        stays = placed.join(F.broadcast(parting.select("shard")), "shard", "left_anti")
+        if not centers.limit(1).count():
+            break
+        rows = placed.join(F.broadcast(parting.select("shard", "nb")), "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb"))).drop("nb")
+        each = centers.join(parting, "shard").select("shard", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)).alias("part"))
+
+        def dealt(t: pa.Table, c: pa.Table) -> pa.Table:
+            x = unit(_matrix(t.column("v")))
+            near = np.frombuffer(c.column("c")[0].as_py(), "<f8").reshape(-1, x.shape[1])
+            at, part, first = _nearest(x, near, OVERLAP)
+            home = t.column("home").to_numpy()
+            keep = home[at] | first
+            at, part, first = at[keep], part[keep], first[keep]
+            out = t.select(["id", "v", "mult"]).take(pa.array(at))
+            return pa.table({"shard": t.column("shard").to_numpy()[at] * PARTS + part, "id": out.column("id"), "v": out.column("v"), "mult": out.column("mult"), "home": home[at] & first})
+
+        schema = "shard long, id long, v binary, mult long, home boolean"
+        parted = rows.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInArrow(dealt, schema)
+        done = stays if done is None else done.unionByName(stays)
+        placed = scratch.cut(parted)
+    return placed if done is None else scratch.cut(done.unionByName(placed))
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, center, whether it is the row's nearest) for the centers that each row joins."""
+    sim = x @ centers.T
+    best = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
+    r, j = np.nonzero(np.take_along_axis(sim, best, 1) >= sim.max(1, keepdims=True) - MARGIN)
+    return r, best[r, j], j == 0
 
 
 def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: int, scratch: Scratch, exact: bool = False) -> DataFrame:
@@ -206,23 +297,22 @@ def _search_once(classes: DataFrame, centers: dict[int, np.ndarray], overlap: in
                 if c is None:
                     at, shard, home = at + rows, shard + [dim * MOST_SHARDS] * len(rows), home + [True] * len(rows)
                     continue
-                sim = unit(np.stack([vectors[i] for i in rows])) @ c.T
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
-                ok = np.take_along_axis(sim, best, 1) >= sim.max(1, keepdims=True) - MARGIN
-                r, j = np.nonzero(ok)
-                at, shard, home = at + [rows[x] for x in r], shard + (dim * MOST_SHARDS + best[r, j]).tolist(), home + (j == 0).tolist()
+                r, near, first = _nearest(unit(np.stack([vectors[i] for i in rows])), c, overlap)
+                at, shard, home = at + [rows[x] for x in r], shard + (dim * MOST_SHARDS + near).tolist(), home + first.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.take(pa.array(at, pa.int64())).columns, pa.array(home, pa.bool_())], names=["shard", "id", "v", "mult", "home"])
 
     placed = scratch.cut(classes.select("id", "v", "mult").mapInArrow(place, "shard long, id long, v binary, mult long, home boolean"))
-    blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / CAP).cast("int").alias("nb"))
-    # one row per shard; there are MOST_SHARDS of a dimension at most
-    placed = placed.join(F.broadcast(scratch.cut(blocks)), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    lists = placed.groupBy("shard", "block").applyInArrow(_build, "id long, nbrs array<long>, crowded boolean")
-    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), F.max(F.col("crowded") | F.lit(exact)).alias("crowded")))  # 2 * DEGREE on average, overlap * CAP at most
+    placed = placed if exact else _parted(placed, scratch)
+    blocks = scratch.cut(placed.groupBy("shard").agg(F.ceil(F.count("*") / CAP).cast("int").alias("nb")).filter("nb > 1"))
+    # a row per shard of more than CAP vectors
+    placed = placed.join(F.broadcast(blocks), "shard", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    lists = placed.groupBy("shard", "block").applyInArrow(_build, "id long, nbrs array<long>, near array<long>, crowded boolean")
+    lists = scratch.cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max(F.col("crowded") | F.lit(exact)).alias("crowded")))  # 2 * DEGREE on average, overlap * CAP at most
     vectors = classes.select("id", "v", "mult").join(lists, "id")
     member = placed.select("shard", "nb", "block", "id", "home").join(vectors, "id")
     member = scratch.cut(member)
-    outside = member.filter("nb = 1").select("shard", F.explode("nbrs").alias("id")).distinct().join(member.select("shard", "id"), ["shard", "id"], "left_anti")
+    # far neighbours guide a search inside of their shard; beyond it only near ones can lead to links
+    outside = member.filter("nb = 1").select("shard", F.explode("near").alias("id")).distinct().join(member.select("shard", "id"), ["shard", "id"], "left_anti")
     whole = member.filter("nb = 1").select(F.col("shard"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.col("home").alias("is_q"), F.lit(True).alias("is_d"), "crowded")
     halo = outside.join(vectors, "id").select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "v", "mult", "nbrs", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"), F.lit(False).alias("crowded"))
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
@@ -270,8 +360,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of different lengths do not link. Equal vectors of different ids link. Rows of one id
     are one vector if equal; else the id has the most links of any, and joins all their components.
-    A null id links with nothing, has a null component and is kept. Other columns are not read. An
-    empty table gives an empty one.
+    A null id links with nothing, has a null component and is kept. Ties cannot arise: a component's smallest id
+    stays. Other columns, texts of any length among them, are not read. An empty table gives an empty one. Where the
+    audit finds too few links at any overlap, all vectors are compared with all, block by block: no result is below the goal.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "graph")
@@ -320,16 +411,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of embeddings: its docstring says what becomes of odd rows."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 ORACLE = f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-g AS MATERIALIZED (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+g AS MATERIALIZED (SELECT DISTINCT * FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
 l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x, g y WHERE x.vec_id <> y.vec_id AND CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= {COSINE} ELSE false END),
-r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
+r(id, root) AS (SELECT DISTINCT vec_id, vec_id FROM v WHERE vec_id IS NOT NULL UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
 c AS (SELECT id, min(root) AS component FROM r GROUP BY id),
-n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component AS component_id, v.vec_id = c.component AS kept
-FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component AS component_id, coalesce(v.vec_id = c.component, true) AS kept
+FROM v LEFT JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """

@@ -204,12 +204,32 @@ def test_op4_against_sql(spark, tmp_path):
     base = rng.normal(size=(40, 16))
     near = np.repeat(base[:6], 12, axis=0) + rng.normal(scale=0.12, size=(72, 16))
     vectors = [v.tolist() for v in np.concatenate([base, near, near[:5]])] + [None, [], [0.0] * 16, [1.0, float("nan")] * 8, [1.0, None] * 8, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0]]
-    df = spark.createDataFrame([(i, v, i % 3, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int, id string")
+    df = spark.createDataFrame([*((i, v, i % 3, "x") for i, v in enumerate(vectors)), (3, vectors[3], 1, "again"), (None, vectors[3], 1, "x"), (None, None, 1, "x")], "vec_id long, embedding array<float>, label int, id string")
     where = write(spark, tmp_path, embeddings=df)
     sql = duck(where, graph_dedup.ORACLE, "embeddings")
     same_rows(graph_dedup.op4_graph_dedup(spark, where), *sql)
 
 
+def test_op4_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.normal(size=8).tolist() for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (4, c), (5, c), (None, a), (None, None), (6, None), (6, None)]
+    got = sorted(map(tuple, graph_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False), (5, 1, 3, False), (None, 0, None, True), (None, 0, None, True), (6, 0, 6, True), (6, 0, 6, True)], key=repr)
+
+
+def test_op4_parts_shards_that_grow(spark, tmp_path, monkeypatch):
+    """Shards of more than CAP vectors are parted, and parted again, and give the rows of SQL."""
+    monkeypatch.setattr(graph_dedup, "MOST_SHARDS", 2)
+    monkeypatch.setattr(graph_dedup, "CAP", 60)
+    monkeypatch.setattr(graph_dedup, "PER_SHARD", 20)
+    monkeypatch.setattr(graph_dedup, "PARTS", 4)
+    rng = np.random.default_rng(14)
+    vectors = np.concatenate([np.repeat(rng.normal(size=(70, 16)), 4, axis=0) + rng.normal(scale=0.08, size=(280, 16)), rng.normal(size=16) + rng.normal(scale=0.05, size=(90, 16))])
+    where = write(spark, tmp_path, embeddings=spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int"))
+    same_rows(graph_dedup.op4_graph_dedup(spark, where), *duck(where, graph_dedup.ORACLE, "embeddings"))
+
+
 def test_op4_blocks_of_a_hot_shard(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph_dedup, "CAP", 15)
     monkeypatch.setattr(graph_dedup, "PER_SHARD", 20)
