@@ -1,7 +1,7 @@
 """MinHash near-dedup: universal-hash minima, banding, signature verification, exact confirmation, star components.
 
 A text is lower-cased (A-Z) and cut into words at bytes 9-13 and 32; its set holds its distinct
-five-word shingles, as 128-bit hashes made from BLAKE2 of the words. Texts with equal sets form a class, which
+five-word shingles, as 128-bit hashes that mix the words' bytes (of long words, their BLAKE2). Texts with equal sets form a class, which
 goes on as one node. Of a class 128 minima are kept; 32 bands of 4 put two sets of similarity 0.75
 in no common bucket with a chance of (1 - 0.75^4)^32 < 6e-6.
 

@@ -107,17 +107,39 @@ def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def wide_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits (two columns) of each word: up to 15 bytes the bytes themselves under a bijection, so that no two words
+    share them; of longer words BLAKE2 of the bytes."""
+    size = end - start
+    out = np.zeros((len(start), 2), np.uint64)
+    short = np.flatnonzero(size <= 15)
+    begin, n = start[short], size[short]
+    for j in range(min(15, int(n.max(initial=0)))):
+        more = np.flatnonzero(n > j)
+        out[short[more], j >> 3] |= raw[begin[more] + j].astype(np.uint64) << np.uint64(8 * (j & 7))
+    out[short, 1] |= (n + 1).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        code, distinct = word_codes(raw, start[long], end[long])
+        of_word = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()), "<u8").reshape(-1, 2).copy()
+        of_word[:, 1] |= np.uint64(0xFF << 56)  # no short word has this
+        out[long] = of_word[code]
+    a, b = out[:, 0], out[:, 1]
+    for k in (0x243F6A8885A308D3, 0x13198A2E03707344):  # a Feistel network, which can be undone
+        a = a + mix(b ^ np.uint64(k))
+        b = b + mix(a ^ np.uint64(k))
+    return np.column_stack([a, b])
+
+
 def shingle_hashes(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit halves of a hash of each run of ``size`` words of a text (all its words if it has fewer), and each text's first.
 
-    A word's hash is 128 bits of BLAKE2 over its bytes, A-Z in lower case; a run's is mixed from its words' in order.
+    A run's hash is mixed in order from its words' ``wide_hashes``, A-Z in lower case.
     """
     small = LOWER[raw]
     start, end = spans(~SPACE[raw], off)
     first = np.searchsorted(start, off)
-    code, distinct = word_codes(small, start, end)
-    of_word = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()), "<u8").reshape(-1, 2)
-    words = of_word[code]
+    words = wide_hashes(small, start, end)
     n, count = len(words), np.diff(first)
     out_first = np.concatenate([[0], np.cumsum(np.where(count >= size, count - size + 1, np.minimum(count, 1)))])
     high, low = np.zeros((2, int(out_first[-1])), np.uint64)
