@@ -317,11 +317,16 @@ def _place(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, decoded_col: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, decoded_col: str | None = None, slices_col: str | None = None) -> DataFrame:
     """(``id_col``, ids BINARY) for each row: packed little-endian unsigned 32-bit ids of the whole text.
 
+    With ``slices_col`` a column of that name follows: for each slice of the pre-tokenisation the offset of its first
+    byte in the text and of its first id, packed as pairs of unsigned 32-bit integers, so that ``decode_slices`` can
+    decode any part without the rest.
+
     With ``decoded_col`` a column of that name follows, the bytes that the packed ids decode to, as ``decode``
-    gives them, made in the same Python worker. A null or empty text gives empty ids; a null id is kept; other
+    gives them, made in the same Python worker. Ties between pairs of one rank go to the leftmost. Texts of any length
+    are encoded whole, scanned ``CHUNK`` bytes at a time but never cut. A null or empty text gives empty ids; a null id is kept; other
     columns, whatever their names, are not read; repeated rows give repeated rows; an empty table gives an empty one.
     ``vocabulary`` is a file of public_tokenizers or a path that every machine has.
     """
@@ -340,13 +345,28 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 memo.learn(pieces)
                 ids = [b"".join(map(take, pieces[a:b])) for a, b in zip(first, first[1:], strict=False)]
                 out = {"id": batch.column(0).slice(lo, hi - lo), "ids": pa.array(ids, pa.binary())}
+                if slices_col is not None:
+                    count = np.array([len(take(p)) >> 2 for p in pieces], np.int64)
+                    before = np.cumsum(count) - count
+                    of_slice = [np.column_stack([start[a:b] - off[d], before[a:b] - before[a]]).astype("<u4").tobytes() if b > a else b"" for d, (a, b) in enumerate(zip(first, first[1:], strict=False))]
+                    out["slices"] = pa.array(of_slice, pa.binary())
                 if decoded_col is not None:
                     out["decoded"] = pa.array([decode_ids(np.frombuffer(x, "<u4"), _place(vocabulary)) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = [id_col, "ids"] + ([] if decoded_col is None else [decoded_col])
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, ids binary" + ("" if decoded_col is None else ", decoded binary")).toDF(*names)
+    more = [(own, name) for own, name in (("slices", slices_col), ("decoded", decoded_col)) if name is not None]
+    schema = f"id {kind.simpleString()}, ids binary" + "".join(f", {own} binary" for own, _ in more)
+    return rows.mapInArrow(run, schema).toDF(id_col, "ids", *(name for _, name in more))
+
+
+def decode_slices(ids: bytes, slices: bytes, first: int, last: int, vocabulary: str = VOCABULARY) -> tuple[int, bytes]:
+    """(offset in the text, bytes) of the slices from ``first`` up to ``last``, not included, of one encoded text."""
+    at = np.frombuffer(slices, "<u4").reshape(-1, 2)
+    if not 0 <= first < last <= len(at):
+        raise IndexError(f"slices {first} to {last} of {len(at)}")
+    own = np.frombuffer(ids, "<u4")[at[first, 1] : at[last, 1] if last < len(at) else None]
+    return int(at[first, 0]), decode_ids(own, _place(vocabulary))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -363,6 +383,6 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents: ``encode`` says what becomes of odd rows."""
     done = encode(table(spark, sf_dir, "documents"), decoded_col="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

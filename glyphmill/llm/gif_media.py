@@ -17,12 +17,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 WIDTH, ROWS = 192, 256
+#: Bytes of texts or stored forms taken at a time, one row at least.
+PART_BYTES = 1 << 22
+#: Pixels of a canvas or an image beyond which a foreign file is not decoded: its few bytes could ask for any memory.
+MOST_PIXELS = 1 << 26
 #: Hundredths of a second that a written frame shows.
 DELAY = 10
 GREY = bytes(x for i in range(256) for x in (i, i, i))
@@ -195,6 +200,8 @@ def read_gif(data: bytes) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     at, shared = 13, np.zeros(256, np.int32)
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
@@ -222,6 +229,8 @@ def read_gif(data: bytes) -> Gif:
         if data[at] != 0x2C:
             raise ValueError(f"unknown block {data[at]:#x}")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError("an image is too large")
         at, palette = at + 10, shared
         if local & 0x80:
             size = 3 << ((local & 7) + 1)
@@ -252,18 +261,28 @@ def read_gif(data: bytes) -> Gif:
     return Gif(width, height, frames)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about PART_BYTES in the second column."""
+    size = np.cumsum(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_bytes, media) for each row: the text's UTF-8 bytes, padded with spaces to whole rows, as a GIF.
 
-    A null or empty text is one row of spaces. Equal texts give equal bytes. A null id is kept,
+    A null or empty text is one row of spaces. Equal texts give equal bytes (there are no ties to settle). Very long texts
+    are stored whole, in as many frames as they need. A null id is kept,
     repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in _parts(batch):
                 raw = [x.encode() if x is not None else b"" for x in part.column(1).to_pylist()]
                 media = [write_gif(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, b" ")) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -284,8 +303,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in _parts(batch):
                 got: list[Gif | None] = []
                 for x in part.column(1).to_pylist():
                     try:
@@ -302,7 +320,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest columns of the stored form and of what is read back from it, in one pass over documents."""
+    """Digest columns of the stored form and of what is read back from it, in one pass over documents: ``to_media`` says what becomes of odd rows."""
     stored = to_media(table(spark, sf_dir, "documents"))
     # the id travels with the stored bytes through the reader, so that no join is needed
     both = stored.select(F.struct("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("key"), "media")

@@ -305,6 +305,47 @@ def test_op6(spark, tmp_path):
     assert [r.payload for r in gif_media.media_columns(broken).collect()] == [None, None]
 
 
+def test_gif_features_against_counting():
+    """The histogram of each frame's canvas, counted grey level by grey level."""
+    rng = random.Random(5)
+    w, rows = gif_media.WIDTH, gif_media.ROWS
+    payload = bytes(rng.randrange(256) for _ in range(w * (2 * rows + 7)))
+    got, canvas = gif_media.read_gif(gif_media.write_gif(payload)), [0] * (w * rows)
+    for i, f in enumerate(got.frames):
+        part = payload[i * w * rows : (i + 1) * w * rows]
+        canvas[: len(part)] = part
+        levels = [sum(x >> 5 == b for x in canvas) for b in range(8)]
+        assert f.histogram == levels * 3
+    assert len(got.frames) == 3
+
+
+def test_gif_that_asks_for_any_memory(spark):
+    import struct
+
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    image = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0) + b"\x08\x00;"
+    df = spark.createDataFrame([(1, bytearray(bomb)), (2, bytearray(image)), (3, bytearray(gif_media.write_gif(b" " * 192)))], "doc_id long, media binary")
+    assert [r.width for r in gif_media.media_columns(df).orderBy("doc_id").collect()] == [None, None, 192]
+
+
+def test_slices_decode_by_themselves(spark, reference_encoding):
+    import regex
+
+    docs = odd_documents(spark, null_id=False, repeated=False)
+    texts = {r[0]: (r[1] or "") for r in odd_rows()}
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    for r in byte_bpe.encode(docs, slices_col="slices").collect():
+        want = [m.encode() for m in pattern.findall(texts[r.doc_id])]
+        assert len(r.slices) // 8 == len(want)
+        at = 0
+        for k, piece in enumerate(want):
+            if k < 40:
+                assert byte_bpe.decode_slices(bytes(r.ids), bytes(r.slices), k, k + 1) == (at, piece)
+            at += len(piece)
+        if want:
+            assert byte_bpe.decode_slices(bytes(r.ids), bytes(r.slices), 0, len(want)) == (0, texts[r.doc_id].encode())
+
+
 def test_empty_tables(spark, tmp_path):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     where = write(spark, tmp_path, documents=empty_documents(spark), embeddings=vectors)
