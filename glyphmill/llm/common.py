@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_opened: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Frees at its end the tables of all operators called inside, whose results must have been written by then."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for s in _opened.pop():
+            s.close()
+
+
 class Scratch:
     """Written tables of one operator call. ``cut`` ends a lineage; ``drop`` frees a table no longer read.
 
@@ -34,6 +50,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        if _opened:
+            _opened[-1].append(self)
 
     def _at(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
