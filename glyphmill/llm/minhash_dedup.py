@@ -39,7 +39,7 @@ PERCENT = 75
 #: with a chance below 3e-6.
 LEAST_EQUAL = 72
 #: Members and shingles of a bucket that a block holds on average (at least one whole text); members that a task holds with their center.
-BLOCK, BLOCK_SHINGLES, STAR = 512, 1 << 20, 512
+BLOCK, BLOCK_SHINGLES, STAR = 512, 1 << 19, 512
 #: Rows (16 bytes each) up to which a set of texts to fetch or drop is broadcast; above, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 

@@ -97,12 +97,10 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     return slice_hash(prefix_hash(LOWER[raw] if lower else raw), start, end), start, end, np.searchsorted(start, off)
 
 
-def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Number of each word among the distinct ones, and these: equal numbers are equal bytes."""
-    size = end - start
+def word_codes(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word among the distinct ones, and these: equal numbers are equal bytes. The words stand one behind the other in ``data``."""
     off = np.concatenate([[0], np.cumsum(size)])
-    inside = np.repeat(start - off[:-1], size) + np.arange(off[-1])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw[inside]))])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
     coded = words.dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
@@ -120,7 +118,10 @@ def wide_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     out[short, 1] |= (n + 1).astype(np.uint64) << np.uint64(56)
     long = np.flatnonzero(size > 15)
     if len(long):
-        code, distinct = word_codes(raw, start[long], end[long])
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[start[long]] = 1
+        np.subtract.at(inside, end[long], 1)
+        code, distinct = word_codes(raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)], size[long])
         of_word = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()), "<u8").reshape(-1, 2).copy()
         of_word[:, 1] |= np.uint64(0xFF << 56)  # no short word has this
         out[long] = of_word[code]
@@ -176,7 +177,7 @@ def shingle_codes(col: pa.Array, size: int) -> list[np.ndarray]:
     for _, _, raw, off in chunks(col, 1 << 62):
         start, end = spans(~SPACE[raw], off)
         first = np.searchsorted(start, off)
-        words, distinct = word_codes(LOWER[raw], start, end)
+        words, distinct = word_codes(LOWER[raw[~SPACE[raw]]], end - start)
         runs = words[: max(0, len(words) - size + 1)]
         for k in range(1, size):
             _, runs = np.unique(runs * (len(distinct) + 1) + words[k : k + len(runs)], return_inverse=True)
