@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .textscan import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -330,6 +330,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     columns, whatever their names, are not read; repeated rows give repeated rows; an empty table gives an empty one.
     ``vocabulary`` is a file of public_tokenizers or a path that every machine has.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Setting, Spark's own value, and the bytes of an Arrow batch that texts are handed to Python in.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand texts to Python in batches of BATCH_BYTES, unless it was given a size: a batch is held, and
+    while it grows held twice, by the executor for each of its tasks."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 _opened: list[list[Scratch]] = []
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WIDTH, ROWS = 192, 256
 #: Bytes of texts or stored forms taken at a time, one row at least.
@@ -278,6 +278,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     are stored whole, in as many frames as they need. A null id is kept,
     repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

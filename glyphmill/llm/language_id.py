@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, small_batches, table
 from .fit import bounded
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
@@ -293,6 +293,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     A null id is kept, repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +307,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df``, all columns, whose language is known with a posterior of ``least`` at least; no shuffle."""
+    small_batches(df.sparkSession)
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, hot_join, table
+from .common import Scratch, fresh, hot_join, small_batches, table
 from .components import components
 from .textscan import chunks, shingle_codes, shingle_hashes
 
@@ -220,6 +220,7 @@ def _bucket_links(buckets: DataFrame, found: DataFrame, texts: DataFrame, reps:
 def _grouped(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Written (id, t, n, high, low) of each row, t being a hash of its text, and the classes that rows with an id and
     words are in: (high, low, the least id of what the class reaches, and that row's t)."""
+    small_batches(df.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     signed = scratch.cut(texts.mapInArrow(_signed, "id long, t long, n long, high long, low long, sig binary"))

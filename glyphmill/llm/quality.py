@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, small_batches, table
 from .fit import bounded, inverse_rates
 from .textscan import chunks, mix, word_hashes
 
@@ -166,6 +166,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     A null id is kept, repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, table
+from .common import Scratch, held_out, small_batches, table
 from .fit import inverse_rates
 from .quality import labelled, logistic
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
@@ -201,6 +201,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no tokens, no passages and the score of a text without any. A null id is
     kept, repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
