@@ -46,9 +46,12 @@ def cross_entropy(logits: np.ndarray, targets: np.ndarray) -> float:
 
 
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-    """``mask`` is True where a key may be seen."""
+    """``mask`` is True where a key may be seen; a query that may see no key gives zeros."""
     scores = q @ np.swapaxes(k, -1, -2) / np.sqrt(q.shape[-1])
-    return softmax(scores if mask is None else np.where(mask, scores, -np.inf)) @ v
+    if mask is None:
+        return softmax(scores) @ v
+    mask = np.broadcast_to(mask, scores.shape)
+    return np.where(mask, softmax(np.where(mask, scores, np.finfo(scores.dtype).min)), 0.0) @ v
 
 
 def rope(x: np.ndarray, positions: np.ndarray, theta: float = 10000.0) -> np.ndarray:

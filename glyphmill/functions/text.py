@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern. (?U) lets \s match all white space of Unicode.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MARK = "\u0001"
+#: Stands between pieces while a text is taken apart.
+MARK = "\u0001"
 
 
 def pretokens(text: Column) -> Column:
@@ -17,6 +18,11 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?U){PATTERN}"), F.lit(0))
 
 
+def marked_pretokens(text: Column) -> Column:
+    """The text with MARK behind each pre-token."""
+    return F.regexp_replace(text, f"(?U){PATTERN}", f"$0{MARK}")
+
+
 def any_of(specials: Sequence[str]) -> str:
     """Pattern of any special token, the longest first, so that of overlapping ones the longer is kept."""
     return "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in sorted(set(specials), key=lambda s: (-len(s), s)))
@@ -31,8 +37,8 @@ def with_specials(text: Column, specials: Sequence[str]) -> Column:
     """Non-empty pieces in order, special tokens among them."""
     if not specials:
         return F.filter(F.array(text), lambda x: x != "")
-    marked = F.regexp_replace(text, f"({any_of(specials)})", f"{_MARK}$1{_MARK}")
-    return F.filter(F.split(marked, _MARK, -1), lambda x: x != "")
+    marked = F.regexp_replace(text, f"({any_of(specials)})", f"{MARK}$1{MARK}")
+    return F.filter(F.split(marked, MARK, -1), lambda x: x != "")
 
 
 def hex_tokens(piece: Column) -> Column:

@@ -35,12 +35,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
     return out.filter(~T.is_blank(F.col("line"))) if drop_blank else out
 
 
-def blank_line_documents(rows: DataFrame, id_col: str = "doc_id", longer_than: int = 100) -> DataFrame:
-    """(id, session, text): runs of non-blank lines of each file, stripped and joined by newlines, above a length."""
+def blank_line_documents(rows: DataFrame, id_col: str = "doc_id", longer_than: int = 100, first: int | None = None) -> DataFrame:
+    """(id, session, text): runs of non-blank lines of each file, stripped and joined by newlines, above a length.
+
+    With ``first``, only so many of them, in order of id and session.
+    """
     order = W.partitionBy(id_col).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     marked = rows.withColumn("session", F.sum(F.when(T.is_blank(F.col("line")), 1).otherwise(0)).over(order)).filter(~T.is_blank(F.col("line")))
     joined = marked.groupBy(id_col, "session").agg(F.array_sort(F.collect_list(F.struct("line_no", T.strip(F.col("line")).alias("l")))).alias("x"))
-    return joined.select(id_col, F.col("session").cast("long").alias("session"), F.array_join("x.l", "\n").alias("text")).filter(F.length("text") > longer_than)
+    out = joined.select(id_col, F.col("session").cast("long").alias("session"), F.array_join("x.l", "\n").alias("text")).filter(F.length("text") > longer_than)
+    return out if first is None else out.orderBy(id_col, "session").limit(first)
 
 
 def char_limit(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", parts: int = 256) -> DataFrame:

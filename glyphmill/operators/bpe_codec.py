@@ -1,7 +1,7 @@
 """Encoding and decoding with a merge list.
 
 Three physical forms of one result: ``chain`` nests one replace a merge (built-in, for up to
-``CHAIN_LIMIT`` merges), ``fold`` folds over the merge list (built-in, any length), ``arrow``
+``CHAIN_LIMIT`` merges; over a whole text, with a mark between pre-tokens that no merge crosses), ``fold`` folds over the merge list (built-in, any length), ``arrow``
 merges by rank with a memo in Arrow batches (long lists). None of them shuffles. The forms
 agree where each merge's sides are made by earlier merges, as training gives them.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +81,31 @@ def _merged(piece: Column, tok: Tokenizer, form: str) -> Column:
     return F.aggregate(steps, tokens, lambda s, m: F.replace(s, m["f"], m["t"])) if hexed else tokens
 
 
+#: First of the characters that stand for merged tokens; a byte stands for itself.
+FIRST_MERGED = 0xE000
+
+
+def _whole(piece: Column, tok: Tokenizer) -> Column:
+    """ARRAY<INT> of a whole piece that does not hold the mark: a character a token, so that a merge replaces two by one.
+
+    The piece's bytes are read as Latin-1, so that no other character can occur.
+    """
+    char = {bytes([b]): chr(b) for b in range(256)}
+    text = F.decode(T.marked_pretokens(piece).cast("binary"), "ISO-8859-1")
+    for left, right in tok.usable:
+        if left in char and right in char:  # a side that no merge has made occurs nowhere
+            joined = char.setdefault(left + right, chr(FIRST_MERGED + len(char) - 256))
+            text = F.replace(text, F.lit(char[left] + char[right]), F.lit(joined))
+    text = F.replace(text, F.lit(T.MARK), F.lit(""))
+    table = F.array(*(F.lit(tok.id_of(t)) for t in char))
+    ids = F.transform(F.split(text, ""), lambda c: F.get(table, F.when(F.ascii(c) < FIRST_MERGED, F.ascii(c)).otherwise(F.ascii(c) - (FIRST_MERGED - 256))))
+    return F.when(piece == "", F.array().cast("array<int>")).otherwise(ids)
+
+
 def encode_long(df: DataFrame, tok: Tokenizer, id_col: str = "doc_id", text_col: str = "text", form: str = "chain") -> DataFrame:
     """(``id_col``, pos, token_id): ids are made inside of each row and then spread out, without a shuffle."""
-    return encode_arrays(df.select(id_col, text_col), tok, text_col, "_ids", form).select(id_col, F.posexplode("_ids").alias("pos", "token_id"))
+    # an inner generator would have the ids made once more, to leave out rows without any before it
+    return encode_arrays(df.select(id_col, text_col), tok, text_col, "_ids", form).select(id_col, F.posexplode_outer("_ids").alias("pos", "token_id")).filter("pos IS NOT NULL")
 
 
 def _special_id(piece: Column, tok: Tokenizer) -> Column:
@@ -98,7 +121,13 @@ def encode_arrays(df: DataFrame, tok: Tokenizer, text_col: str = "text", out_col
         form = "fold"
     if form != "arrow":
         special = (lambda p: p.isin(tok.specials)) if tok.specials else (lambda p: F.lit(False))
-        of_piece = lambda p: F.when(special(p), F.array(_special_id(p, tok))).otherwise(F.flatten(F.transform(T.pretokens(p), lambda w: _ids(_merged(w, tok, form), tok))))
+        one_by_one = lambda p: F.flatten(F.transform(T.pretokens(p), lambda w: _ids(_merged(w, tok, form), tok)))
+        ids = one_by_one
+        if form == "chain" and not any(T.MARK.encode() in a + b for a, b in tok.usable):
+            ids = lambda p: F.when(F.contains(p, F.lit(T.MARK)), one_by_one(p)).otherwise(_whole(p, tok))
+        if not tok.specials:
+            return df.withColumn(out_col, F.when(F.col(text_col).isNotNull(), ids(F.col(text_col))))
+        of_piece = lambda p: F.when(special(p), F.array(_special_id(p, tok))).otherwise(ids(p))
         return df.withColumn(out_col, F.flatten(F.transform(T.with_specials(F.col(text_col), tok.specials), of_piece)))
 
     return _encode_arrow(df, tok, text_col, out_col)
@@ -193,6 +222,38 @@ def decode_arrays(df: DataFrame, tok: Tokenizer, ids_col: str = "tokens", out_co
     return df.mapInArrow(run, ST.StructType([*df.schema.fields, ST.StructField(out_col, ST.StringType())]))
 
 
+def token_totals(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
+    """(token_id, n, n_docs): how often each token stands in all texts, and in how many rows.
+
+    Texts are encoded and counted inside of an Arrow batch, which gives a row per token of the vocabulary at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, memo = _pieces(tok), {}
+        top = max(tok.ids.values(), default=0) + 1
+        for b in batches:
+            n, docs = np.zeros(top, np.int64), np.zeros(top, np.int64)
+            for x in b.column(0).to_pylist():
+                if x:
+                    own = np.bincount(np.array(encode(x, memo), np.int64), minlength=top)
+                    n += own
+                    docs += own > 0
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(n[seen]), pa.array(docs[seen])], names=["token_id", "n", "n_docs"])
+
+    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token_id int, n long, n_docs long")
+    return parts.groupBy("token_id").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
+def sizes_of_types(counts: DataFrame, tok: Tokenizer, *by: str) -> DataFrame:
+    """(``by``, n_bytes, n_chars, n_tokens) of a histogram (``by``, pretoken, n): each distinct pre-token is encoded once."""
+    types = counts.groupBy("pretoken").agg(F.sum("n").alias("n")).select("pretoken") if by else counts.select("pretoken")
+    done = encode_arrays(types, tok, "pretoken", "ids", "chain").select("pretoken", F.size("ids").cast("long").alias("k"))
+    rows = counts.join(done, "pretoken")
+    n = F.col("n")
+    return rows.groupBy(*by).agg(F.sum(n * F.octet_length("pretoken")).alias("n_bytes"), F.sum(n * F.length("pretoken")).alias("n_chars"), F.sum(n * F.col("k")).alias("n_tokens"))
+
+
 def unknown_ids(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(vocab.select("token_id")), "token_id", "left_anti")
 

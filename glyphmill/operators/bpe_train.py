@@ -9,9 +9,9 @@ distributed: a pair count per merge over hex tokens, the table written anew ever
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Collection, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from ..sources.scratch import written
 
 #: Distinct pre-tokens, about 100 bytes each in the driver, up to which its loop is taken.
 DRIVER_TYPES = 2_000_000
-#: Merges as expressions over a written table, before it is written again.
-CHAIN = 64
+#: Merges as expressions over a written table, before it is written again; pairs looked at for merges of one pass.
+CHAIN, TOP = 64, 256
 
 
 def histogram(docs: DataFrame, text_col: str = "text", specials: Sequence[str] = ()) -> DataFrame:
@@ -52,19 +52,47 @@ def merge_step(types: DataFrame, left: str, right: str) -> DataFrame:
     return types.withColumn("tokens", T.apply_merge(F.col("tokens"), left, right))
 
 
+def settled(top: Sequence[tuple[int, bytes, bytes]], known: Collection[bytes] = ()) -> list[tuple[bytes, bytes, int]]:
+    """The merges that are sure to come next, given the first pairs in order of (occurrences, left, right) from the greatest down.
+
+    Pairs of which no two share a token leave each other's counts alone, and a pair that a merge makes occurs no oftener
+    than a pair of one of its tokens that is not among them did. So those that occur oftener than the first pair left out
+    come next, in order. A merge that makes a token there is already (``known``) adds to that token's pairs, and so is the last.
+    """
+    out: list[tuple[bytes, bytes, int]] = []
+    used: set[bytes] = set()
+    least = top[-1][0] if len(top) == TOP else 0
+    for n, left, right in top:
+        if left in used or right in used:
+            least = n
+            break
+        out.append((left, right, n))
+        used |= {left, right}
+    out = [m for m in out if m[2] > least] or out[:1]
+    there = set(known)
+    for k, (left, right, _) in enumerate(out):
+        if left + right in there:
+            return out[: k + 1]
+        there.add(left + right)
+    return out
+
+
 def train_distributed(counts: DataFrame, n_merges: int) -> list[tuple[bytes, bytes, int]]:
-    """(left, right, occurrences) of each merge; fewer when no pair is left."""
+    """(left, right, occurrences) of each merge; fewer when no pair is left. Each pass over the types counts all pairs and makes all merges that are ``settled``."""
     types = written(hex_types(counts))
     merges: list[tuple[bytes, bytes, int]] = []
+    since = 0
     while len(merges) < n_merges:
-        best = best_pair(pair_counts(types)).collect()
-        if not best:
+        top = pair_counts(types).orderBy(F.col("n").desc(), F.col("left_hex").desc(), F.col("right_hex").desc()).limit(TOP).collect()
+        if not top:
             break
-        left, right, n = best[0]
-        merges.append((bytes.fromhex(left), bytes.fromhex(right), n))
-        types = merge_step(types, left, right)
-        if len(merges) % CHAIN == 0:
-            types = written(types)
+        new = settled([(r["n"], bytes.fromhex(r["left_hex"]), bytes.fromhex(r["right_hex"])) for r in top], [a + b for a, b, _ in merges])[: n_merges - len(merges)]
+        merges += new
+        for left, right, _ in new:
+            types = merge_step(types, left.hex().upper(), right.hex().upper())
+        since += len(new)
+        if since >= CHAIN:
+            types, since = written(types), 0
     return merges
 
 
@@ -80,50 +108,69 @@ class _Desc:
         return self.pair > other.pair
 
 
+def _sums(keys: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Keys with their summed weights."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys, weight = keys[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    yield from zip(keys[first].tolist(), np.add.reduceat(weight, first).tolist(), strict=True)
+
+
 def learn(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, bytes, int]]:
-    """The same in one process. Each pair knows the types that hold it, so that a merge touches only these."""
-    words = [[bytes([b]) for b in w] for w in counts]
-    weight = list(counts.values())
-    total: dict[tuple[bytes, bytes], int] = defaultdict(int)
-    where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for pair in zip(w, w[1:], strict=False):
-            total[pair] += weight[i]
-            where[pair].add(i)
-    heap = [(-n, _Desc(p)) for p, n in total.items()]
-    heapq.heapify(heap)
+    """The same in one process: all types stand in one array of token numbers, and a merge changes the counts of the pairs around its places."""
+    token = np.frombuffer(b"".join(counts), np.uint8).astype(np.int32)
+    size = np.array([len(w) for w in counts], np.int64)
+    word = np.repeat(np.arange(len(counts), dtype=np.int32), size)
+    weight = np.array(list(counts.values()), np.int64)
+    names: list[bytes] = [bytes([b]) for b in range(256)]
+    total: dict[int, int] = {}
+    heap: list[tuple[int, _Desc, int]] = []
+
+    def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and weights of the pairs that begin at places, as far as there are any."""
+        at = at[(at >= 0) & (at + 1 < len(token))]
+        at = at[word[at] == word[at + 1]]
+        return token[at].astype(np.int64) << 32 | token[at + 1], weight[word[at]]
+
+    def push(key: int) -> None:
+        if total[key] > 0:
+            heapq.heappush(heap, (-total[key], _Desc((names[key >> 32], names[key & 0xFFFFFFFF])), key))
+
+    for key, n in _sums(*pairs(np.arange(len(token)))):
+        total[key] = n
+        push(key)
     merges: list[tuple[bytes, bytes, int]] = []
+    made: dict[bytes, int] = {}
     while heap and len(merges) < n_merges:
-        n, top = heapq.heappop(heap)
-        pair = top.pair
-        if total.get(pair, 0) != -n or not n:
+        n, _, key = heapq.heappop(heap)
+        if total[key] != -n:
             continue  # counted anew since, and pushed again then
-        left, right = pair
-        merges.append((left, right, -n))
-        joined, changed = left + right, set()
-        for i in where.pop(pair):
-            old = words[i]
-            for p in zip(old, old[1:], strict=False):
-                total[p] -= weight[i]
-                changed.add(p)
-            new, k = [], 0
-            while k < len(old):
-                if k + 1 < len(old) and old[k] == left and old[k + 1] == right:
-                    new.append(joined)
-                    k += 2
-                else:
-                    new.append(old[k])
-                    k += 1
-            words[i] = new
-            for p in zip(new, new[1:], strict=False):
-                total[p] += weight[i]
-                where[p].add(i)
-                changed.add(p)
-        for p in changed:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], _Desc(p)))
-            else:
-                del total[p]
+        a, b = key >> 32, key & 0xFFFFFFFF
+        merges.append((names[a], names[b], -n))
+        at = np.flatnonzero((token[:-1] == a) & (token[1:] == b) & (word[:-1] == word[1:]))
+        if a == b:  # of a run every other place, from its left
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+            at = at[(at - np.repeat(at[begins], np.diff(np.append(begins, len(at))))) % 2 == 0]
+        changed: set[int] = set()
+        for k, w in _sums(*pairs(np.unique(np.concatenate([at - 1, at, at + 1])))):
+            total[k] -= w
+            changed.add(k)
+        joined = names[a] + names[b]
+        if joined not in made:  # two merges can make one token
+            made[joined] = len(names)
+            names.append(joined)
+        token[at] = made[joined]
+        keep = np.ones(len(token), bool)
+        keep[at + 1] = False
+        token, word = token[keep], word[keep]
+        now = at - np.arange(len(at))
+        for k, w in _sums(*pairs(np.unique(np.concatenate([now - 1, now])))):
+            total[k] = total.get(k, 0) + w
+            changed.add(k)
+        for k in changed:
+            push(k)
     return merges
 
 
@@ -140,16 +187,31 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), text_c
 
 
 def train_by_group(docs: DataFrame, group_col: str, vocab_size: int, text_col: str = "text") -> DataFrame:
-    """(group, rank, left, right, n): a tokenizer for each group, each learned in one task from its histogram."""
-    counts = docs.select(F.col(group_col).alias("g"), F.explode(T.pretokens(F.col(text_col))).alias("pretoken")).groupBy("g", "pretoken").agg(F.count("*").alias("n"))
+    """(group, rank, left, right, n): a tokenizer for each group, learned in one task from a histogram of at most ``DRIVER_TYPES``
+    distinct pre-tokens; a group with more is learned by the distributed loop."""
+    counts = written(docs.select(F.col(group_col).cast("string").alias("g"), F.explode(T.pretokens(F.col(text_col))).alias("pretoken")).groupBy("g", "pretoken").agg(F.count("*").alias("n")))
+    n_merges = max(0, vocab_size - 256)
+    schema = "g string, rank int, left binary, right binary, n long"
+    large = [r["g"] for r in counts.groupBy("g").agg(F.count("*").alias("types")).filter(F.col("types") > DRIVER_TYPES).collect()]  # fewer than all types / DRIVER_TYPES
 
     def run(key, pdf):
         import pandas as pd
 
-        got = learn({p.encode(): int(n) for p, n in zip(pdf.pretoken, pdf.n, strict=True)}, max(0, vocab_size - 256))
+        got = learn({p.encode(): int(n) for p, n in zip(pdf.pretoken, pdf.n, strict=True)}, n_merges)
         return pd.DataFrame({"g": [key[0]] * len(got), "rank": range(len(got)), "left": [a for a, _, _ in got], "right": [b for _, b, _ in got], "n": [n for _, _, n in got]})
 
-    return counts.groupBy("g").applyInPandas(run, "g string, rank int, left binary, right binary, n long").withColumnRenamed("g", group_col)
+    is_large = F.lit(False)
+    out = []
+    for g in large:
+        mine = F.col("g").eqNullSafe(F.lit(g))
+        is_large |= mine
+        got = train_distributed(counts.filter(mine).select("pretoken", "n"), n_merges)
+        out.append(docs.sparkSession.createDataFrame([(g, i, bytearray(a), bytearray(b), n) for i, (a, b, n) in enumerate(got)], schema))
+    out.append(counts.filter(~is_large).groupBy("g").applyInPandas(run, schema))
+    done = out[0]
+    for more in out[1:]:
+        done = done.unionByName(more)
+    return done.withColumnRenamed("g", group_col)
 
 
 def merges_table(spark: SparkSession, merges: Sequence[tuple[bytes, bytes]]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ def sample_windows(sequences: DataFrame, n: int, context: int, seed: int = 0, to
     return every.sample(False, min(1.0, n / total), seed) if total else every
 
 
+def start_counts(windows: DataFrame, starts: int, start_col: str = "start") -> DataFrame:
+    """(start, n, expected, is_fair) of windows drawn from ``starts`` places: how often each was drawn, how often it would be
+    if all were as likely, and whether that is within five standard deviations. Places never drawn have 0."""
+    total = windows.agg(F.count("*").alias("total"))
+    every = windows.sparkSession.range(starts).select(F.col("id").alias("start"))
+    n = windows.groupBy(F.col(start_col).cast("long").alias("start")).agg(F.count("*").alias("n"))
+    out = every.join(n, "start", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))  # one row is broadcast
+    out = out.withColumn("expected", F.col("total") / starts)
+    return out.select("start", "n", "expected", (F.abs(F.col("n") - F.col("expected")) <= 5 * F.sqrt(F.col("expected") * (1 - 1 / starts))).alias("is_fair"))
+
+
 def clip_gradients(grads: DataFrame, limit: float, key: str = "name", col: str = "grad") -> DataFrame:
     """Gradients scaled so that their common L2 norm is ``limit`` at most; a null gradient stays null and does not count."""
     norm = grads.agg(F.sqrt(F.sum(F.coalesce(X.dot(F.col(col), F.col(col)), F.lit(0.0)))).alias("_norm"))
@@ -58,18 +70,25 @@ def self_attention(sequences: DataFrame, weights: dict[str, np.ndarray], heads:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for rows in b.column(1).to_pylist():
-                x = np.array(rows, float)
-                y = nn.multihead(x, *(weights[k] for k in ("q", "k", "v", "o")), heads, np.arange(len(x)) if rotate else None, theta) if len(x) else x
-                out.append(y.tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["seq", "x"])
+            col = b.column(1)
+            flat = col.flatten().flatten().to_numpy()
+            places = pc.list_value_length(col).fill_null(0).to_numpy()
+            d = len(weights["q"][0])
+            at = np.cumsum(places) - places
+            out = np.empty((int(places.sum()), len(weights["o"])))
+            for n in np.unique(places[places > 0]).tolist():  # sequences of a length go through together
+                same = np.flatnonzero(places == n)
+                rows = at[same][:, None] + np.arange(n)
+                x = flat.reshape(-1, d)[rows]
+                out[rows] = nn.multihead(x, *(weights[k] for k in ("q", "k", "v", "o")), heads, np.arange(n) if rotate else None, theta)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.append(at, len(out)), pa.int32()), inner)], names=["seq", "x"])
 
     return sequences.select("seq", "x").mapInArrow(run, "seq long, x array<array<double>>")
 
 
 def logits(sequences: DataFrame, weights: dict[str, np.ndarray], layers: int, heads: int, theta: float = 10000.0, context: int | None = None) -> DataFrame:
-    """(seq, tokens) to (seq, pos, best_id, best_logit, loss): the model's choice and next-token loss at each place.
+    """(seq, tokens) to (seq, pos, best_id, best_logit, loss): the model's choice and next-token loss at each place. ``seq`` has any type.
 
     With ``context``, tokens beyond so many are not places: the first of them is only the target of the last place.
     """
@@ -78,9 +97,9 @@ def logits(sequences: DataFrame, weights: dict[str, np.ndarray], layers: int, he
         names = ["seq", "pos", "best_id", "best_logit", "loss"]
         for b in batches:
             by_length: dict[int, list[tuple[int, list[int]]]] = {}
-            for seq, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row, ids in enumerate(b.column(1).to_pylist()):
                 if ids:
-                    by_length.setdefault(len(ids), []).append((seq, ids))
+                    by_length.setdefault(len(ids), []).append((row, ids))
             for n, rows in by_length.items():  # sequences of a length go through the model together
                 step = max(1, PLACES // n)
                 for some in (rows[i : i + step] for i in range(0, len(rows), step)):
@@ -92,7 +111,9 @@ def logits(sequences: DataFrame, weights: dict[str, np.ndarray], layers: int, he
                     loss = np.full((len(some), places), np.nan)
                     loss[:, :known] = np.log(np.exp(y[:, :known] - top[:, :known, None]).sum(-1)) + top[:, :known] - np.take_along_axis(y[:, :known], ids[:, 1 : known + 1, None], -1)[..., 0]
                     unknown = np.tile(np.arange(places) >= known, len(some))
-                    cols = (np.repeat([s for s, _ in some], places), np.tile(np.arange(places, dtype=np.int32), len(some)), y.argmax(-1).ravel().astype(np.int32), top.ravel())
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(loss.ravel(), pa.float64(), mask=unknown)], names=names)
+                    seq = b.column(0).take(pa.array(np.repeat([r for r, _ in some], places)))
+                    cols = (np.tile(np.arange(places, dtype=np.int32), len(some)), y.argmax(-1).ravel().astype(np.int32), top.ravel())
+                    yield pa.RecordBatch.from_arrays([seq, *map(pa.array, cols), pa.array(loss.ravel(), pa.float64(), mask=unknown)], names=names)
 
-    return sequences.select("seq", "tokens").mapInArrow(run, "seq long, pos int, best_id int, best_logit double, loss double")
+    kind = sequences.schema["seq"].dataType.simpleString()
+    return sequences.select("seq", "tokens").mapInArrow(run, f"seq {kind}, pos int, best_id int, best_logit double, loss double")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nn
@@ -17,6 +15,7 @@ from ..operators import bpe_codec as C
 from ..operators import bpe_train as B
 from ..operators import training as TR
 from ..sources import artifacts
+from ..sources.scratch import folder, goes_at_exit, written
 from ..streaming import encode as S
 from . import oracle as O
 
@@ -58,6 +57,20 @@ def long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.encode_long(table(spark, sf_dir), tokenizer())
 
 
+def totals(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(``by``, n_bytes, n_chars, n_tokens, ratio, chars_per_token) of all texts: from the histogram, each distinct pre-token encoded once."""
+    docs = table(spark, sf_dir)
+    counts = docs.select(*by, F.explode(T.pretokens(F.col("text"))).alias("pretoken")).groupBy(*by, "pretoken").agg(F.count("*").alias("n"))
+    sums = C.sizes_of_types(written(counts), tokenizer(), *by)
+    if by:  # groups of empty texts alone
+        keys = docs.select(*by).distinct().withColumnsRenamed({c: f"_{c}" for c in by})
+        same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by]
+        sums = keys.join(sums, same, "left").drop(*by).withColumnsRenamed({f"_{c}": c for c in by})
+    n = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_bytes", "n_chars", "n_tokens")}
+    sums = sums.select(*by, *n.values())
+    return sums.withColumn("ratio", T.ratio(F.col("n_bytes"), F.col("n_tokens"))).withColumn("chars_per_token", T.ratio(F.col("n_chars"), F.col("n_tokens")))
+
+
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, characters and tokens of each document, without spreading the tokens out."""
     done = C.encode_arrays(table(spark, sf_dir).select("doc_id", "lang", "text"), tokenizer(), form="chain")
@@ -145,6 +158,25 @@ def bpe_train_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.train_by_group(table(spark, sf_dir), "lang", 300)
 
 
+TRAINED = 1_000
+
+
+@query(None)
+def bpe_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary of a thousand learned from all documents, and every document encoded with it."""
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    vocab, merges = B.train(docs, TRAINED, [SPECIAL])
+    done = C.encode_arrays(docs, C.Tokenizer(vocab, merges, [SPECIAL]))
+    return done.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.octet_length("text").cast("long").alias("n_bytes"), _digest("tokens").alias("digest"))
+
+
+def _digest(ids: str) -> Column:
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+_IDS = f"list_transform(h, lambda x: CASE WHEN len(x) = 2 THEN CAST('0x' || x AS INTEGER) ELSE 255 + list_position({[t.hex().upper() for t in JOINED]}, x) END)"
+
+
 # --- encoding and decoding -----------------------------------------------------------------
 
 
@@ -241,14 +273,13 @@ def usable_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT token_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({LONG}) GROUP BY token_id")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per document first, so that a token of every document is no hot key of distinct ids."""
-    per = long_ids(spark, sf_dir).groupBy("token_id", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("token_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    """Counted where the texts are, so that a token of every document is no hot key and no token is spread out."""
+    return C.token_totals(table(spark, sf_dir), tokenizer())
 
 
 @query(f"SELECT count(*) AS n, min(token_id) AS min_id, max(token_id) AS max_id, CAST(sum(token_id) AS BIGINT) AS sum_id, count(DISTINCT token_id) AS n_distinct FROM ({LONG})")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = long_ids(spark, sf_dir).groupBy("token_id").agg(F.count("*").alias("n"))
+    per = C.token_totals(table(spark, sf_dir), tokenizer())
     return per.agg(F.sum("n").alias("n"), F.min("token_id").alias("min_id"), F.max("token_id").alias("max_id"), F.sum(F.col("token_id") * F.col("n")).alias("sum_id"), F.count("*").alias("n_distinct"))
 
 
@@ -262,18 +293,18 @@ _TOTALS = "CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(n_tokens) AS BIGINT
 
 @query(f"SELECT {_TOTALS} FROM ({SIZES})")
 def corpus_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.overall(sized(spark, sf_dir)).select("n_bytes", "n_tokens", "ratio")
+    return totals(spark, sf_dir).select("n_bytes", "n_tokens", "ratio")
 
 
 @query(f"SELECT lang, {_TOTALS} FROM ({SIZES}) GROUP BY lang")
 def compression_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.overall(sized(spark, sf_dir), "lang").select("lang", "n_bytes", "n_tokens", "ratio")
+    return totals(spark, sf_dir, "lang").select("lang", "n_bytes", "n_tokens", "ratio")
 
 
 @query(f"WITH r AS (SELECT lang, {_TOTALS} FROM ({SIZES}) GROUP BY lang) SELECT a.lang AS lang, round(a.ratio - b.ratio, {SHOWN}) AS difference, CASE WHEN a.ratio > b.ratio THEN 'better' WHEN a.ratio < b.ratio THEN 'worse' ELSE 'equal' END AS label FROM r a, r b WHERE b.lang = 'en' AND a.lang <> 'en'")
 def compression_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against English: more bytes per token is the better compression."""
-    r = A.overall(sized(spark, sf_dir), "lang").select("lang", "ratio")
+    r = totals(spark, sf_dir, "lang").select("lang", "ratio")
     base = r.filter("lang = 'en'").select(F.col("ratio").alias("base"))  # one row
     label = F.when(F.col("ratio") > F.col("base"), "better").when(F.col("ratio") < F.col("base"), "worse").otherwise("equal")
     return r.filter("lang <> 'en'").join(F.broadcast(base)).select("lang", F.round(F.col("ratio") - F.col("base"), SHOWN).alias("difference"), label.alias("label"))
@@ -281,7 +312,7 @@ def compression_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, CASE WHEN sum(n_tokens) > 0 THEN CAST(sum(n_chars) AS DOUBLE) / sum(n_tokens) ELSE 0 END AS chars_per_token, CAST(sum(n_bytes) AS DOUBLE) / 1048576 AS mb FROM ({SIZES}) GROUP BY lang")
 def chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.overall(sized(spark, sf_dir), "lang").select("lang", "chars_per_token", (F.col("n_bytes") / 1048576).alias("mb"))
+    return totals(spark, sf_dir, "lang").select("lang", "chars_per_token", (F.col("n_bytes") / 1048576).alias("mb"))
 
 
 @query(f"SELECT max_id, n, coalesce(max_id <= 65535, true) AS fits_uint16, CASE WHEN coalesce(max_id <= 65535, true) THEN 'uint16' ELSE 'uint32' END AS dtype FROM (SELECT CAST(max(token_id) AS BIGINT) AS max_id, count(*) AS n FROM ({_ODD}))")
@@ -439,33 +470,29 @@ def state_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.plain_names(s.withColumn("was", F.col("name"))).select(F.col("was").alias("name"), F.col("name").alias("plain"))
 
 
-@query(None)
+@query(f"SELECT 'documents' AS name, count(*) AS n_rows, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, CAST(max(list_max(ids)) AS BIGINT) AS max_id, CASE WHEN max(list_max(ids)) > 65535 THEN 'uint32' ELSE 'uint16' END AS dtype, true AS stored FROM (SELECT {_IDS} AS ids FROM ({ENCODED}))")
 def encoded_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents encoded to a dataset, written unless it is there, and listed: rows, tokens, width, bytes."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    made = None if at else tempfile.mkdtemp(prefix="glyphmill-")
-    path = f"{at or made}/encoded-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    """Documents encoded to a dataset and listed: rows, tokens, width, and whether it takes bytes on disk."""
+    path = folder(spark)
     artifacts.save_tokens(C.encode_arrays(table(spark, sf_dir).select("doc_id", "text"), tokenizer()).select("doc_id", "tokens"), path)
-    rows = artifacts.catalog(spark, {"documents": path}).collect()
-    if made:
-        shutil.rmtree(made)
-    return spark.createDataFrame(rows, "name string, n_rows long, n_tokens long, max_id long, dtype string, bytes long")
+    goes_at_exit(spark, path)
+    return artifacts.catalog(spark, {"documents": path}).select("name", "n_rows", "n_tokens", "max_id", "dtype", (F.col("bytes") > 0).alias("stored"))
 
 
 # --- streaming -----------------------------------------------------------------------------
 
 
-@query(None)
+@query(f"SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, sha256(array_to_string(ids, ',')) AS digest FROM (SELECT doc_id, {_IDS} AS ids FROM ({ENCODED}))")
 def bpe_encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, encoded and written exactly once; equal to the batch result."""
-    from ..sources.scratch import written
-
     source = table(spark, sf_dir).select("doc_id", "text")
     src = written(source)
     path = src.inputFiles()[0].rsplit("/", 1)[0]
     stream = S.encoded(S.documents(spark, path, "doc_id long, text string"), tokenizer()).select("doc_id", "tokens")
     S.to_files(stream, f"{path}-out", f"{path}-state").awaitTermination()
-    return spark.read.schema("doc_id long, tokens array<int>").parquet(f"{path}-out").select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("digest"))
+    for made in (f"{path}-out", f"{path}-state"):
+        goes_at_exit(spark, made)
+    return spark.read.schema("doc_id long, tokens array<int>").parquet(f"{path}-out").select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), _digest("tokens").alias("digest"))
 
 
 # --- training math -------------------------------------------------------------------------
@@ -576,13 +603,10 @@ def head_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", "head", (F.round(X.total(F.col("h")), SHOWN) + 0.0).alias("total"))
 
 
-_FEW = f"SELECT doc_id, pos, token_id FROM ({LONG}) WHERE pos < 40"
-
-
-@query(f"WITH {_V}, t AS ({_FEW}) SELECT doc_id, pos, round(list_sum(x), {SHOWN}) + 0.0 AS total FROM t JOIN v ON v.vec_id = t.token_id")
+@query(f"WITH {_V}, t AS ({LONG}) SELECT doc_id, pos, round(list_sum(x), {SHOWN}) + 0.0 AS total FROM t JOIN v ON v.vec_id = t.token_id")
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the embedding matrix by token id: the matrix has as many rows as the vocabulary."""
-    ids = long_ids(spark, sf_dir).filter("pos < 40")
+    ids = long_ids(spark, sf_dir)
     v = _vectors(spark, sf_dir).filter(F.col("vec_id") < 256 + len(MERGES)).select(F.col("vec_id").cast("int").alias("token_id"), (F.round(X.total(F.col("x")), SHOWN) + 0.0).alias("total"))
     return ids.join(F.broadcast(v), "token_id").select("doc_id", "pos", "total")
 
@@ -606,6 +630,14 @@ def lm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "start", add("w.x").alias("x_sum"), add("w.y").alias("y_sum"))
 
 
+@query(f"SELECT pos AS start, count(*) AS n FROM (SELECT pos, count(*) OVER (PARTITION BY doc_id) AS n FROM ({LONG})) WHERE pos < n - {CONTEXT} GROUP BY pos")
+def window_start_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have a training window that starts at each place."""
+    t = C.encode_arrays(table(spark, sf_dir).select("doc_id", "text"), tokenizer(), form="chain").select(F.size("tokens").alias("n")).filter(F.col("n") > CONTEXT)
+    lengths = t.groupBy("n").agg(F.count("*").alias("docs"))
+    return lengths.select("docs", F.explode(F.sequence(F.lit(0), F.col("n") - CONTEXT - 1)).alias("start")).groupBy("start").agg(F.sum("docs").alias("n"))
+
+
 @query(f"WITH {_V}, n AS (SELECT sqrt(sum(list_sum(list_transform(x, lambda a: a * a)))) AS norm FROM v WHERE label <> 3) SELECT vec_id, round(CASE WHEN label = 3 THEN NULL ELSE list_sum(x) * least(1, 1.0 / (norm + 1e-6)) END, {SHOWN}) + 0.0 AS total FROM v, n")
 def grad_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as gradients of as many parameters; those of label 3 have none."""
@@ -634,14 +666,42 @@ def _attention_weights() -> dict:
     return {k: nn.truncated_normal((64, 64), 0.1, 0.3, i) for i, k in enumerate(("q", "k", "v", "o"))}
 
 
-@query(None)
+HEADS = 4
+
+
+def _sql_mha(rotate: bool) -> str:
+    """Projections, optional rotation within each head, causal attention by head, and the output projection."""
+    w = _attention_weights()
+    parts = ", ".join(f"{_sql_linear('x', w[k].tolist())} AS {k}" for k in ("q", "k", "v"))
+    size = 64 // HEADS
+    angle = f"pos / pow(10000.0, 2 * ((i - 1) // 2) / {size}.0)"
+    turned = f"list_transform({{0}}, lambda a, i: CASE WHEN i % 2 = 1 THEN a * cos({angle}) - {{0}}[i + 1] * sin({angle}) ELSE {{0}}[i - 1] * sin({angle}) + a * cos({angle}) END)"
+    turn = (lambda c: turned.format(c)) if rotate else (lambda c: c)
+    return (
+        f"WITH {_V}, p AS (SELECT vec_id, vec_id // {SEQ} AS seq, row_number() OVER (PARTITION BY vec_id // {SEQ} ORDER BY vec_id) - 1 AS pos, {parts} FROM v),"
+        f" h0 AS (SELECT vec_id, seq, pos, h, q[h * {size} + 1 : (h + 1) * {size}] AS q, k[h * {size} + 1 : (h + 1) * {size}] AS k, v[h * {size} + 1 : (h + 1) * {size}] AS v FROM (SELECT *, unnest(range({HEADS})) AS h FROM p)),"
+        f" h AS (SELECT vec_id, seq, pos, h, {turn('q')} AS q, {turn('k')} AS k, v FROM h0),"
+        f" s AS (SELECT a.vec_id, a.seq, a.pos, a.h, b.v, list_sum(list_transform(list_zip(a.q, b.k), lambda p: p[1] * p[2])) / sqrt({size}) AS s FROM h a JOIN h b ON a.seq = b.seq AND a.h = b.h AND b.pos <= a.pos),"
+        " e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, h)) AS e FROM s), g AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, h) AS w FROM e),"
+        " u AS (SELECT vec_id, seq, pos, h, generate_subscripts(v, 1) AS i, w * unnest(v) AS y FROM g), t AS (SELECT vec_id, seq, pos, h, i, sum(y) AS y FROM u GROUP BY ALL),"
+        " x AS (SELECT vec_id, seq, pos, list(y ORDER BY h, i) AS x FROM t GROUP BY ALL)"
+        f" {_sql_out('SELECT CAST(seq AS BIGINT) AS seq, CAST(pos AS INTEGER) AS pos, ' + _sql_linear('x', w['o'].tolist()) + ' AS y FROM x', 'seq, pos')}"
+    )
+
+
+def _mha(spark: SparkSession, sf_dir: str, rotate: bool) -> DataFrame:
+    out = TR.self_attention(_sequences(spark, sf_dir), _attention_weights(), HEADS, rotate)
+    return _spread_out(out.select("seq", F.posexplode("x").alias("pos", "row")), "row", "seq", "pos")
+
+
+@query(_sql_mha(False))
 def mha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TR.self_attention(_sequences(spark, sf_dir), _attention_weights(), 4, rotate=False)
+    return _mha(spark, sf_dir, False)
 
 
-@query(None)
+@query(_sql_mha(True))
 def mha_rope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TR.self_attention(_sequences(spark, sf_dir), _attention_weights(), 4, rotate=True)
+    return _mha(spark, sf_dir, True)
 
 
 @query(None)
@@ -651,5 +711,5 @@ def transformer_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = nn.random_weights(256 + len(MERGES), 32, 2, 64)
     t = C.encode_arrays(table(spark, sf_dir).select("doc_id", "text"), tok).select("doc_id", "tokens").filter(F.size("tokens") > 0)
     s = t.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(CONTEXT))).alias("at"))
-    s = s.select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("seq"), F.slice("tokens", F.col("at") + 1, F.lit(CONTEXT + 1)).alias("tokens"))
-    return TR.logits(s, weights, 2, 4, context=CONTEXT)
+    s = s.select(F.struct("doc_id", "at").alias("seq"), F.slice("tokens", F.col("at") + 1, F.lit(CONTEXT + 1)).alias("tokens"))
+    return TR.logits(s, weights, 2, 4, context=CONTEXT).select("seq.doc_id", "seq.at", "pos", "best_id", "best_logit", "loss")

@@ -25,6 +25,27 @@ def load_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
     return Tokenizer(vocab, merges, [r["special"] for r in spark.read.parquet(f"{path}/specials").orderBy("place").collect()])
 
 
+HEX = "token_id int, token_hex string"
+
+
+def save_tokenizer_json(spark: SparkSession, tok: Tokenizer, path: str, mode: str = "errorifexists") -> None:
+    """vocab/, merges/ and specials/ as lines of JSON with hex tokens: readable, and nothing is lost."""
+    tables = {
+        "vocab": spark.createDataFrame([(i, t.hex()) for i, t in tok.vocab.items()], HEX),
+        "merges": spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(tok.merges)], "rank int, left_hex string, right_hex string"),
+        "specials": spark.createDataFrame(list(enumerate(tok.specials)), "place int, special string"),
+    }
+    for name, t in tables.items():
+        t.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/{name}")
+
+
+def load_tokenizer_json(spark: SparkSession, path: str) -> Tokenizer:
+    read = lambda name, schema: [r["x"] for r in spark.read.text(f"{path}/{name}").select(F.from_json("value", schema).alias("x")).collect()]
+    merges = sorted(read("merges", "rank int, left_hex string, right_hex string"), key=lambda r: r["rank"])
+    specials = sorted(read("specials", "place int, special string"), key=lambda r: r["place"])
+    return Tokenizer({r["token_id"]: bytes.fromhex(r["token_hex"]) for r in read("vocab", HEX)}, [(bytes.fromhex(r["left_hex"]), bytes.fromhex(r["right_hex"])) for r in merges], [r["special"] for r in specials])
+
+
 def _text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
@@ -33,17 +54,20 @@ def _bytes(x: str | list[int]) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
 
-def load_vocab_json(spark: SparkSession, path: str) -> dict[int, bytes]:
-    """{id: token}; a token is a string, taken as UTF-8, or a list of byte values."""
+def _json_only(path: str) -> None:
     if not path.endswith(".json"):
-        raise ValueError(f"not a JSON file: {path}")
+        raise ValueError(f"not a JSON file: {path}; pickled tokenizers are refused, as reading one runs whatever code it holds")
+
+
+def load_vocab_json(spark: SparkSession, path: str) -> dict[int, bytes]:
+    """{id: token}; a token is a string, taken as UTF-8, or a list of byte values. Pickled files are refused."""
+    _json_only(path)
     return {int(k): _bytes(v) for k, v in json.loads(_text(spark, path)).items()}
 
 
 def load_merges_json(spark: SparkSession, path: str) -> list[tuple[bytes, bytes]]:
     """A list of pairs, each side as in a vocabulary; entries that are no pair are left out."""
-    if not path.endswith(".json"):
-        raise ValueError(f"not a JSON file: {path}")
+    _json_only(path)
     return [(_bytes(m[0]), _bytes(m[1])) for m in json.loads(_text(spark, path)) if len(m) == 2]
 
 

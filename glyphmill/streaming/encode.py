@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent
 
 from ..functions import text as T
 from ..operators.bpe_codec import Tokenizer, encode_arrays
@@ -32,9 +33,35 @@ def pretoken_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once Parquet files, one set a micro-batch; ``lastProgress`` of the query has the rates."""
+    """Exactly-once Parquet files, one set a micro-batch; ``progress`` reads the query's rates."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+class Counters(StreamingQueryListener):
+    """Running counters of queries while they go: batches, rows and milliseconds of each, by the query's id."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        self.of.setdefault(str(event.id), {"batches": 0, "rows": 0, "ms": 0})
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        p = event.progress
+        own = self.of.setdefault(str(p.id), {"batches": 0, "rows": 0, "ms": 0})
+        own["batches"], own["rows"], own["ms"] = own["batches"] + 1, own["rows"] + p.numInputRows, own["ms"] + p.batchDuration
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        pass
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """(batch, rows, ms) of the last batches of a query, as far as it keeps them."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"]} for p in query.recentProgress]
+
+
 def to_table(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()

@@ -64,6 +64,41 @@ def test_distributed_loop_equals_driver_loop(spark, docs):
     assert B.train_distributed(spark.createDataFrame([("ab", 2)], "pretoken string, n long"), 5) == [(b"a", b"b", 2)]
 
 
+def test_passes_of_several_merges_equal_one_by_one(spark, monkeypatch):
+    """Also where few pairs are looked at, counts tie, and two merges make one token."""
+    rng = random.Random(8)
+    for top in (256, 3):
+        monkeypatch.setattr(B, "TOP", top)
+        for _ in range(3):
+            counts = {"".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(60)}
+            df = spark.createDataFrame(list(counts.items()), "pretoken string, n long")
+            assert B.train_distributed(df, 30) == plain_learn({k.encode(): n for k, n in counts.items()}, 30)
+    assert B.settled([(9, b"a", b"b"), (8, b"c", b"d"), (7, b"b", b"e")]) == [(b"a", b"b", 9), (b"c", b"d", 8)]
+    assert B.settled([(9, b"a", b"b"), (8, b"c", b"d"), (8, b"b", b"e")]) == [(b"a", b"b", 9)]
+    assert B.settled([(9, b"a", b"bc"), (8, b"d", b"e"), (7, b"f", b"g")], [b"abc"]) == [(b"a", b"bc", 9)]
+
+
+def test_texts_with_the_mark(spark):
+    """Pre-tokens are parted by a mark in the whole-text form; texts that hold it go another way."""
+    tok = C.Tokenizer({**{i: bytes([i]) for i in range(256)}, 256: b"th"}, [(b"t", b"h")])
+    texts = ["the \u0001th t\u0001h", "th\u0001", "\u0001", "t h th", None]
+    got = [r.tokens for r in C.encode_arrays(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), tok, form="chain").collect()]
+    assert got == [C.encode_text(t, tok) if t is not None else None for t in texts]
+
+
+def test_token_totals(spark):
+    tok = C.Tokenizer({**{i: bytes([i]) for i in range(256)}, 256: b"th"}, [(b"t", b"h")])
+    texts = ["the th", "th", "", None, "x"]
+    want: Counter = Counter()
+    docs: Counter = Counter()
+    for t in filter(None, texts):
+        ids = C.encode_text(t, tok)
+        want.update(ids)
+        docs.update(set(ids))
+    got = C.token_totals(spark.createDataFrame([(t,) for t in texts], "text string"), tok).collect()
+    assert {r.token_id: (r.n, r.n_docs) for r in got} == {k: (n, docs[k]) for k, n in want.items()}
+
+
 def test_ties_go_to_the_greatest_bytes():
     assert B.learn({b"ab": 1, b"ba": 1, b"b\xff": 1}, 1) == [(b"b", b"\xff", 1)]
 
@@ -103,12 +138,12 @@ def test_overlapping_specials_keep_the_longer(spark):
     assert C.encode_arrays(df, tok, form="chain").first().tokens == ids
 
 
-def test_toy_vocabulary_and_bad_merges():
-    vocab = {**{i: bytes([i]) for i in range(256)}, 256: b"he", 257: b"ll", 258: b"o ", 259: b"the"}
-    tok = C.Tokenizer(vocab, [(b"h", b"e"), (b"l", b"l"), (b"t", b"he"), (b"q", b"zz")], ["<START>", "<END>"])
-    assert C.encode_text("<START>hello the<END>", tok) == [260, 256, 257, 111, 32, 259, 261]
-    assert tok.usable == [(b"h", b"e"), (b"l", b"l"), (b"t", b"he")]
-    assert list(C.encode_iterable(["hello", "", "the"], tok)) == [256, 257, 111, 259]
+def test_small_vocabulary_and_bad_merges():
+    vocab = {**{i: bytes([i]) for i in range(256)}, 256: b"an", 257: b"na", 258: b"s,", 259: b"ban"}
+    tok = C.Tokenizer(vocab, [(b"a", b"n"), (b"n", b"a"), (b"b", b"an"), (b"q", b"zz")], ["[in]", "[out]"])
+    assert C.encode_text("[in]banana nab[out]", tok) == [260, 259, 256, 97, 32, 257, 98, 261]
+    assert tok.usable == [(b"a", b"n"), (b"n", b"a"), (b"b", b"an")]
+    assert list(C.encode_iterable(["nab", "", "ban"], tok)) == [257, 98, 259]
 
 
 def test_decode_of_odd_ids():
@@ -135,6 +170,9 @@ def test_artifacts_round_trip(spark, docs, tmp_path):
     artifacts.save_tokenizer(spark, tok, f"{tmp_path}/tok")
     back = artifacts.load_tokenizer(spark, f"{tmp_path}/tok")
     assert (back.vocab, back.merges, back.specials) == (tok.vocab, tok.merges, tok.specials)
+    artifacts.save_tokenizer_json(spark, tok, f"{tmp_path}/json")
+    back = artifacts.load_tokenizer_json(spark, f"{tmp_path}/json")
+    assert (back.vocab, back.merges, back.specials) == (tok.vocab, tok.merges, tok.specials)
     chars = T.byte_characters()
     assert len(set(chars)) == 256 and chars[32] == "Ġ" and chars[65] == "A"
     show = lambda b: "".join(chars[x] for x in b)
@@ -152,7 +190,9 @@ def test_artifacts_round_trip(spark, docs, tmp_path):
         artifacts.load_vocab_json(spark, "x.pkl")
 
 
-def test_train_by_group(spark):
+@pytest.mark.parametrize("limit", [2_000_000, 2])
+def test_train_by_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(B, "DRIVER_TYPES", limit)
     df = spark.createDataFrame([("a", "aa aa ab"), ("b", "bb bb")], "lang string, text string")
     got = {(r.lang, r["rank"]): bytes(r.left + r.right) for r in B.train_by_group(df, "lang", 258).collect()}
     assert got[("b", 0)] == b"bb" and got[("a", 0)] == b"aa"

@@ -3,6 +3,7 @@
 import gzip
 import io
 import math
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,17 @@ def test_streams_equal_batch(spark, tmp_path):
         ST.to_table(made, name, f"{tmp_path}/{name}").awaitTermination()
         assert spark.table(name).agg(F.sum("n")).first()[0] > 0
     assert spark.table("tok").filter("token_id = 256").first().n == 80
+    counters = ST.Counters()
+    spark.streams.addListener(counters)
+    done = ST.to_files(ST.encoded(stream, TOK), f"{tmp_path}/out2", f"{tmp_path}/state2")
+    done.awaitTermination()
+    assert sum(p["rows"] for p in ST.progress(done)) == 40
+    for _ in range(100):
+        if counters.of.get(str(done.id), {}).get("rows") == 40:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counters)
+    assert counters.of[str(done.id)]["rows"] == 40 and counters.of[str(done.id)]["batches"] >= 3
 
 
 def test_char_limit_and_sessions(spark):
@@ -80,6 +92,7 @@ def test_char_limit_and_sessions(spark):
     text = " a \nb\n\n \nc\n"
     made = A.blank_line_documents(A.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")), longer_than=0)
     assert sorted(r.text for r in made.collect()) == ["a\nb", "c"]
+    assert [r.text for r in A.blank_line_documents(A.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")), longer_than=0, first=1).collect()] == ["a\nb"]
 
 
 def one(spark, c):
@@ -145,6 +158,74 @@ def test_clip_and_adamw(spark):
     assert np.isclose(row.p, p) and row.t == 3
 
 
+def test_adamw_over_a_thousand_steps(spark):
+    """Towards a target, against the plain recurrence."""
+    def step(s, t):
+        g = 2 * (s["p"] - 3.0)
+        p, m, v = X.adamw(s["p"], g, s["m"], s["v"], t, lr=1e-2, decay=0.1)
+        return F.struct(p.alias("p"), m.alias("m"), v.alias("v"))
+
+    start = F.struct(F.lit(-1.0).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    got = spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(1000)), start, step).alias("s")).first().s
+    p, m, v = -1.0, 0.0, 0.0
+    for t in range(1, 1001):
+        g = 2 * (p - 3.0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p * (1 - 1e-2 * 0.1) - 1e-2 * (m / (1 - 0.9**t)) / (math.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.isclose(got.p, p) and np.isclose(got.m, m) and np.isclose(got.v, v)
+
+
+def test_block_against_places_one_by_one():
+    """A transformer block written out by place, head and component."""
+    rng = np.random.default_rng(3)
+    d, heads, n, ff = 8, 2, 5, 12
+    w = {k: v for k, v in nn.random_weights(10, d, 1, ff, seed=4).items() if k.startswith("layers.0.")}
+    w = {k[9:]: rng.normal(size=v.shape) * 0.3 for k, v in w.items()}
+    x = rng.normal(size=(n, d))
+
+    def norm(r, g):
+        return [a / math.sqrt(sum(b * b for b in r) / len(r) + 1e-5) * c for a, c in zip(r, g, strict=True)]
+
+    def times(m, r):
+        return [sum(a * b for a, b in zip(row, r, strict=True)) for row in m]
+
+    def turned(r, at):
+        out = list(r)
+        for i in range(0, len(r), 2):
+            a = at / 10000 ** (i / len(r))
+            out[i], out[i + 1] = r[i] * math.cos(a) - r[i + 1] * math.sin(a), r[i] * math.sin(a) + r[i + 1] * math.cos(a)
+        return out
+
+    rows = [norm(r, w["ln1.weight"]) for r in x]
+    size, mixed = d // heads, []
+    for t in range(n):
+        out = []
+        for h in range(heads):
+            part = lambda m, r, h=h: times(w[f"attn.{m}_proj.weight"], r)[h * size : (h + 1) * size]
+            q = turned(part("q", rows[t]), t)
+            scores = [sum(a * b for a, b in zip(q, turned(part("k", rows[u]), u), strict=True)) / math.sqrt(size) for u in range(t + 1)]
+            e = [math.exp(s - max(scores)) for s in scores]
+            out += [sum(e[u] / sum(e) * part("v", rows[u])[c] for u in range(t + 1)) for c in range(size)]
+        mixed.append([a + b for a, b in zip(x[t], times(w["attn.output_proj.weight"], out), strict=True)])
+    want = []
+    for r in mixed:
+        y = norm(r, w["ln2.weight"])
+        gated = [a / (1 + math.exp(-a)) * b for a, b in zip(times(w["ffn.w1.weight"], y), times(w["ffn.w3.weight"], y), strict=True)]
+        want.append([a + b for a, b in zip(r, times(w["ffn.w2.weight"], gated), strict=True)])
+    assert np.allclose(nn.block(x, w, heads), want)
+
+
+def test_start_counts(spark):
+    drawn = spark.createDataFrame([(int(s),) for s in np.random.default_rng(2).integers(0, 10, 5000)] + [(3,)] * 400, "start long")
+    got = {r.start: r for r in TR.start_counts(drawn, 12).collect()}
+    assert sum(r.n for r in got.values()) == 5400 and got[11].n == 0 and not got[11].is_fair and not got[3].is_fair and got[5].is_fair
+
+
+def test_queries_that_see_no_key_give_zeros():
+    got = nn.attention(np.ones((2, 4)), np.ones((3, 4)), np.ones((3, 4)), np.array([[False] * 3, [True, False, False]]))
+    assert got.tolist() == [[0.0] * 4, [1.0] * 4]
+
+
 def test_transformer_is_causal_and_accepts_short_input(spark):
     w = nn.random_weights(50, 16, 2, 32)
     ids = np.arange(10) * 7 % 50

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_language_model_scores_every_token(spark):
     n = {r.doc_id: r.n for r in long_ids(spark, SF).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     got = QUERIES["transformer_lm"][0](spark, SF).collect()
-    place = [(r.seq // 1_000_000, r.seq % 1_000_000 + r.pos) for r in got]
+    place = [(r.doc_id, r["at"] + r.pos) for r in got]
     assert sorted(place) == sorted((d, i) for d, k in n.items() for i in range(k))
     assert {p for p, r in zip(place, got, strict=True) if r.loss is None} == {(d, k - 1) for d, k in n.items()}
 
