@@ -106,13 +106,12 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str]
     spark = left.sparkSession
     key = F.xxhash64(*on)
     if rows is None:
-        rows, total = left.groupBy(*on).agg(F.count("*").alias("__rows")), left.count()
-    else:
-        total = rows.agg(F.sum("__rows")).first()[0] or 0
-    most = max(HOT_ROWS, total // HOT_KEYS)
-    hot = rows.filter(F.col("__rows") > most).groupBy(key.alias("__key")).agg(F.sum("__rows").alias("__rows")).collect() if total > most else []
-    if not hot:
+        rows = left.groupBy(*on).agg(F.count("*").alias("__rows"))
+    whole = rows.agg(F.sum("__rows").alias("n"), F.max("__rows").alias("top")).first()
+    most = max(HOT_ROWS, (whole["n"] or 0) // HOT_KEYS)
+    if (whole["top"] or 0) <= most:
         return left.join(right, on, how)
+    hot = rows.filter(F.col("__rows") > most).groupBy(key.alias("__key")).agg(F.sum("__rows").alias("__rows")).collect()
     shares = F.broadcast(spark.createDataFrame([(r["__key"], -(-r["__rows"] // most)) for r in hot], "__key long, __shares long"))
     a = left.withColumn("__key", key).join(shares, "__key", "left")
     a = a.withColumn("__share", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__shares")), F.lit(0))).drop("__key", "__shares")

@@ -33,9 +33,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
     pairs = scratch.cut(pairs)
     now = pairs.filter("u <> v")
-    n = now.count()
+    n, settled = now.count(), False
     for turn in range(rounds + 1):
-        if not n or turn and not now.groupBy("u").count().filter("count > 1").limit(1).count() and not now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
+        if not n or settled:
             break
         if turn == rounds:
             raise RuntimeError(f"no fixed point within {rounds} rounds of stars")
@@ -48,7 +48,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             scratch.drop(now)
         now = scratch.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(large)
-        n = now.count()
+        # settled: one edge for each node, and none from a node that others point to
+        each = now.groupBy("u").agg(F.count("*").alias("n")).join(now.select(F.col("v").alias("u"), F.lit(True).alias("root")).distinct(), "u", "left")
+        n, loose = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(((F.col("n") > 1) | F.col("root").isNotNull()).cast("long")), F.lit(0))).first()
+        settled = not loose
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     loops = pairs.filter("u = v").select(F.col("u").alias("id"))

@@ -122,7 +122,7 @@ def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
     sizes = scratch.cut(sizes)
     sources = scratch.cut(targets(sizes.drop("__rows"), scratch))
     placed = running(sized, ["skey", "key", "id", "size", "h"], {"upto": F.col("size")}, scratch)
-    names = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("skey")), F.lit(0)).alias("chars")).first()
+    names = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("skey")), F.lit(0)).alias("chars"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")).first()
     if names["n"] <= BROADCAST_SOURCES and names["chars"] <= BROADCAST_CHARS:
         placed = placed.join(F.broadcast(sources), "skey")
     else:
@@ -131,8 +131,7 @@ def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
 
     passes = F.explode(F.array(*(F.struct(F.lit(k).alias("pass"), _finish(k).alias("finish")) for k in range(PASSES))))
     entries = placed.filter("size > 0").select("skey", "key", "id", "size", "h", passes.alias("e")).select("skey", "key", "id", "size", "h", "e.*")
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")).first()["total"]
-    end = edge(entries, BUDGET_HALVES * total)
+    end = edge(entries, BUDGET_HALVES * names["total"])
     taken = []
     for k in range(PASSES):
         if end is None:

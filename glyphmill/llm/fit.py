@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,16 @@ def bounded(df: DataFrame, label: str, per_label: int, order: Column) -> tuple[D
     return drawn, {k: n[k] / c for k, c in got.items()}
 
 
+def give_back() -> None:
+    """Hands memory that a fit has freed back to the system, which the driver's process would keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
+
+
 def inverse_rates(labels: Iterable[int], stands_for: dict[int, float] | None) -> np.ndarray:
     """For each drawn row, how many rows it stands for: a sample drawn by label is weighted back to the table's ratio."""
     return np.array([(stands_for or {}).get(int(k), 1.0) for k in labels], float)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table
-from .fit import bounded
+from .fit import bounded, give_back
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -334,7 +334,9 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model({(r["lang"], bytes(r["word"])): r["n"] for r in counted.toLocalIterator()})
+    model = Model({(r["lang"], bytes(r["word"])): r["n"] for r in counted.toLocalIterator()})
+    give_back()
+    return model
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

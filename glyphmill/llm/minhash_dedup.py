@@ -233,8 +233,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tup
     groups = scratch.cut(bands.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("center")).filter("m > 1").select("key", "center", "m", parts.alias("parts")))
     buckets = scratch.cut(hot_join(bands, groups.drop("m"), ["key"], ["node"], rows=groups.select("key", F.col("m").alias("__rows"))).select("key", "node", "n", "band", "center", "parts"))
     confirmed = _star_links(buckets, texts, reps, scratch)
-    more = _bucket_links(buckets, components(confirmed, scratch), texts, reps, scratch)
-    found = components(confirmed.unionByName(more), scratch)
+    found = components(confirmed, scratch)
+    more = _bucket_links(buckets, found, texts, reps, scratch)
+    if more.limit(1).count():  # the first components stand for their links
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
     named = reps.select("high", "low", "id", "t", "node").join(found.withColumnRenamed("id", "node"), "node", "left")
     least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "t")).alias("l"))
     classes = named.join(least, "component", "left").select("high", "low", F.coalesce("l.id", "id").alias("least"), F.coalesce("l.t", "t").alias("least_t"))

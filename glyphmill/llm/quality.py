@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table
-from .fit import bounded, inverse_rates
+from .fit import bounded, give_back, inverse_rates
 from .textscan import chunks, mix, word_hashes
 
 #: Hash buckets of trigrams, and of shape bigrams behind them.
@@ -199,7 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     kind = sample.schema["id"].dataType.simpleString()
     rows = sorted((r["id"], r["label"], bytes(r["bits"])) for r in sample.mapInArrow(run, f"id {kind}, label int, bits binary").collect())
-    return Model([r[2] for r in rows], [r[1] for r in rows], stands_for)
+    model = Model([r[2] for r in rows], [r[1] for r in rows], stands_for)
+    del rows
+    give_back()
+    return model
 
 
 def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, held_out, small_batches, table
-from .fit import inverse_rates
+from .fit import give_back, inverse_rates
 from .quality import labelled, logistic
 from .textscan import LOWER, SPACE, chunks, prefix_hash, slice_hash, spans
 
@@ -218,7 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample, stands_for = labelled(docs, labels, "toxic", 4, 2, FIT_ROWS)
     rows = Scratch(docs.sparkSession, "toxic").cut(sample)
     known = sorted(map(tuple, rows.select("id", "label").collect()))
-    return Model(Stored(rows.orderBy("id", "label", "text").select("text")), [k for _, k in known], stands_for)
+    model = Model(Stored(rows.orderBy("id", "label", "text").select("text")), [k for _, k in known], stands_for)
+    give_back()
+    return model
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
