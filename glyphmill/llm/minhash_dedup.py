@@ -39,7 +39,7 @@ PERCENT = 75
 #: with a chance below 3e-6.
 LEAST_EQUAL = 72
 #: Members and shingles of a bucket that a block holds on average (at least one whole text); members that a task holds with their center.
-BLOCK, BLOCK_SHINGLES, STAR = 512, 1 << 19, 512
+BLOCK, BLOCK_SHINGLES, STAR = 512, 1 << 18, 512
 #: Rows (16 bytes each) up to which a set of texts to fetch or drop is broadcast; above, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -165,7 +165,7 @@ def _forest(t: pa.Table) -> pa.Table:
                 continue
             mine = code[off[x] : off[x + 1]]
             mark[mine] = 1
-            shared = np.add.reduceat(mark[np.concatenate([code[off[k] : off[k + 1]] for k in y])], np.cumsum(size[y]) - size[y]).astype(np.int64)
+            shared = np.array([mark[code[off[k] : off[k + 1]]].sum() for k in y.tolist()], np.int64)
             mark[mine] = 0
             linked = y[shared * 100 >= PERCENT * (size[x] + size[y] - shared)]
             joined, one = np.unique(label[linked], return_index=True)
