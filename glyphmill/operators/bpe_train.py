@@ -3,7 +3,7 @@
 The pair of most occurrences is merged; among equals the one whose bytes are greatest, left side
 first. Two loops give the same merges. Histograms of at most ``DRIVER_TYPES`` distinct pre-tokens go
 to the driver, where pair counts are kept up to date merge by merge. Larger ones stay
-distributed: a pair count per merge over hex tokens, the table written anew every few merges.
+distributed: blocks of token numbers, of which each pass gives the changes of pair counts, written anew every few passes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import heapq
 from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from ..sources.scratch import written
 
 #: Distinct pre-tokens, about 100 bytes each in the driver, up to which its loop is taken.
 DRIVER_TYPES = 2_000_000
-#: Merges as expressions over a written table, before it is written again; pairs looked at for merges of one pass.
-CHAIN, TOP = 64, 256
+#: Passes over a written table, before it is written again; pairs looked at for merges of one pass.
+ROUNDS, TOP = 4, 256
+#: Tokens of a block of types.
+BLOCK = 1 << 18
 
 
 def histogram(docs: DataFrame, text_col: str = "text", specials: Sequence[str] = ()) -> DataFrame:
@@ -77,25 +80,134 @@ def settled(top: Sequence[tuple[int, bytes, bytes]], known: Collection[bytes] =
     return out
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
+    """(tokens, weights) of (pretoken, n): many types a row, as token numbers with ``end`` behind each type, and the types' occurrences."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def block() -> pa.RecordBatch:
+        tokens, weights = (np.concatenate(x).tobytes() for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([tokens], pa.binary()), pa.array([weights], pa.binary())], names=["tokens", "weights"])
+
+    for batch in batches:
+        words = [w.encode() for w in batch.column(0).to_pylist()]
+        size = np.array([len(w) for w in words], np.int64)
+        tokens = np.full(int(size.sum()) + len(words), end, _kind(end))
+        tokens[np.arange(int(size.sum())) + np.repeat(np.arange(len(words)), size)] = np.frombuffer(b"".join(words), np.uint8)
+        held.append((tokens, batch.column(1).to_numpy().astype(np.int64)))
+        if sum(len(x) for x, _ in held) >= BLOCK:
+            yield block()
+            held.clear()
+    if held:
+        yield block()
+
+
+def _kind(end: int) -> type:
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def _places(tokens: np.ndarray, merges: Sequence[tuple[int, int, int]], end: int) -> np.ndarray:
+    """Where merges (left, right, made) are made; no two of them share a token, so that all are made at once."""
+    right = np.full(end + 1, end, tokens.dtype)
+    right[[x for x, _, _ in merges]] = [y for _, y, _ in merges]
+    at = np.flatnonzero(right[tokens[:-1]] == tokens[1:])
+    at = at[tokens[at + 1] != end]
+    if any(x == y for x, y, _ in merges) and len(at):  # of a run every other place, from its left
+        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        at = at[(at - np.repeat(at[begins], np.diff(np.append(begins, len(at))))) % 2 == 0]
+    return at
+
+
+def _made(tokens: np.ndarray, at: np.ndarray, merges: Sequence[tuple[int, int, int]], end: int) -> np.ndarray:
+    made = np.zeros(end + 1, tokens.dtype)
+    made[[x for x, _, _ in merges]] = [z for _, _, z in merges]
+    tokens = tokens.copy()
+    tokens[at] = made[tokens[at]]
+    return np.delete(tokens, at + 1)
+
+
+def _merged(tokens: np.ndarray, rounds: Sequence[Sequence[tuple[int, int, int]]], end: int) -> np.ndarray:
+    for merges in rounds:
+        tokens = _made(tokens, _places(tokens, merges, end), merges, end)
+    return tokens
+
+
+def _pairs_at(tokens: np.ndarray, weights: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left * (end + 1) + right, occurrences) of the pairs that begin at places, as far as there are any."""
+    at = at[(at >= 0) & (at + 1 < len(tokens))]
+    at = at[(tokens[at] != end) & (tokens[at + 1] != end)]
+    return tokens[at].astype(np.int64) * (end + 1) + tokens[at + 1], weights[np.searchsorted(np.flatnonzero(tokens == end), at)]
+
+
+def _changes(tokens: np.ndarray, weights: np.ndarray, merges: Sequence[tuple[int, int, int]], end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that merges take away and add; of no merges, all pairs."""
+    if not merges:
+        return [_pairs_at(tokens, weights, np.arange(len(tokens)), end)]
+    at = _places(tokens, merges, end)
+    key, n = _pairs_at(tokens, weights, np.unique(np.concatenate([at - 1, at, at + 1])), end)
+    now = at - np.arange(len(at))
+    return [(key, -n), _pairs_at(_made(tokens, at, merges, end), weights, np.unique(np.concatenate([now - 1, now])), end)]
+
+
 def train_distributed(counts: DataFrame, n_merges: int) -> list[tuple[bytes, bytes, int]]:
-    """(left, right, occurrences) of each merge; fewer when no pair is left. Each pass over the types counts all pairs and makes all merges that are ``settled``."""
-    types = written(hex_types(counts))
+    """(left, right, occurrences) of each merge; fewer when no pair is left. Each pass over the types makes all merges that are ``settled``.
+
+    Types stand in blocks of token numbers. A task makes the merges since the table was last written, and sums what the last
+    of them change in the counts of pairs; Spark sums the tasks' changes. The driver holds the counts, 16 bytes a distinct pair.
+    """
+    names: list[bytes] = [bytes([b]) for b in range(256)]
+    number = {t: i for i, t in enumerate(names)}
+    end, schema = 256 + max(0, n_merges), "tokens binary, weights binary"  # ``end`` is no token
+    tasks = max(1, counts.sparkSession.sparkContext.defaultParallelism)
+    blocks = counts.select("pretoken", F.col("n").cast("long")).mapInArrow(lambda batches: _blocks(batches, end), schema)
+    types = written(blocks.repartition(tasks))
     merges: list[tuple[bytes, bytes, int]] = []
-    since = 0
+    rounds: list[list[tuple[int, int, int]]] = [[]]
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for tokens, weights in zip(batch.column(0), batch.column(1), strict=True):
+            yield np.frombuffer(tokens.as_buffer(), _kind(end)), np.frombuffer(weights.as_buffer(), np.int64)
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [_merged(tokens, rounds, end).tobytes() for tokens, _ in read(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), batch.column(1)], names=["tokens", "weights"])
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [x for tokens, weights in read(batch) for x in _changes(_merged(tokens, rounds[:-1], end), weights, rounds[-1], end)]
+            key, n = _totals(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+
+    pairs, n_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while len(merges) < n_merges:
-        top = pair_counts(types).orderBy(F.col("n").desc(), F.col("left_hex").desc(), F.col("right_hex").desc()).limit(TOP).collect()
-        if not top:
+        got = types.mapInArrow(changes, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        pairs, n_pairs = _totals(np.concatenate([pairs, got["pair"].to_numpy()]), np.concatenate([n_pairs, got["n"].to_numpy()]))
+        pairs, n_pairs = pairs[n_pairs > 0], n_pairs[n_pairs > 0]
+        if not len(pairs):
             break
-        new = settled([(r["n"], bytes.fromhex(r["left_hex"]), bytes.fromhex(r["right_hex"])) for r in top], [a + b for a, b, _ in merges])[: n_merges - len(merges)]
+        first = np.flatnonzero(n_pairs >= np.partition(n_pairs, -TOP)[-TOP]) if len(pairs) > TOP else np.arange(len(pairs))
+        top = sorted(((int(n_pairs[i]), names[pairs[i] // (end + 1)], names[pairs[i] % (end + 1)]) for i in first), reverse=True)[:TOP]
+        new = settled(top, [a + b for a, b, _ in merges])[: n_merges - len(merges)]
         merges += new
         for left, right, _ in new:
-            types = merge_step(types, left.hex().upper(), right.hex().upper())
-        since += len(new)
-        if since >= CHAIN:
-            types, since = written(types), 0
+            if left + right not in number:
+                number[left + right] = len(names)
+                names.append(left + right)
+        if len(rounds) >= ROUNDS:
+            types = written(types.mapInArrow(forward, schema))
+            rounds.clear()
+        rounds.append([(number[a], number[b], number[a + b]) for a, b, _ in new])
     return merges
 
 
+def _totals(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, each once, with their summed weights."""
+    order = np.argsort(keys, kind="stable")
+    keys, weight = keys[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(weight, first) if len(first) else weight
+
+
 class _Desc:
     """Orders pairs of byte strings from the greatest down, for a heap."""
 
@@ -110,12 +222,8 @@ class _Desc:
 
 def _sums(keys: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
     """Keys with their summed weights."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys, weight = keys[order], weight[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    yield from zip(keys[first].tolist(), np.add.reduceat(weight, first).tolist(), strict=True)
+    keys, weight = _totals(keys, weight)
+    yield from zip(keys.tolist(), weight.tolist(), strict=True)
 
 
 def learn(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, bytes, int]]:
