@@ -7,13 +7,30 @@ very long texts, ties, repeated rows and empty tables are said of each stage bel
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import byte_bpe, fair_mix, language_id, minhash_dedup, pii_surrogates
-from glyphmill.llm.common import Scratch, fresh, released, table
+from glyphmill.llm.common import Scratch, collect_executors, fresh, released, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _lean(stage: Stage) -> Stage:
+    """``stage``, before which executors give back the heap that the one before it has left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_lean
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; texts without a letter and undecided ones go.
 
@@ -24,6 +41,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
+@_lean
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest id.
 
@@ -33,6 +51,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return minhash_dedup.keep_one(docs)
 
 
+@_lean
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with keyed surrogates; n_chars, where it is a column, follows the text.
 
@@ -46,6 +65,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*docs.columns)
 
 
+@_lean
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
@@ -56,6 +76,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fair_mix.mix_rows(docs)
 
 
+@_lean
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document taken, and digests of them and of the bytes that they decode to.
 

@@ -313,6 +313,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             yield b.filter(pa.array([lang != "und" and p >= least for lang, p in model.of(b.column(where))], pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
