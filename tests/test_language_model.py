@@ -77,8 +77,12 @@ def test_texts_are_tiled_alike_however_many_are_held(spark, monkeypatch):
         model, of, texts = nn.LanguageModel(weights, 1, 4), pa.array([k for k, _ in docs]), [np.array(C.encode_text(x or "", tok), np.int32) for _, x in docs]
         monkeypatch.setattr(TR, "ROWS", rows)
         parts = [(of, texts)] if held > 1 else [(of.slice(i, 1), texts[i : i + 1]) for i in range(len(texts)) if len(texts[i])]
-        runs.append([tuple(r.values()) for o, t in parts for b in TR._tiled(model, o, t, 8) for r in b.to_pylist()])
+        runs.append([tuple(r.values()) for o, t in parts for b in TR._placed(o, *TR._tiled(model, t, 8), 8) for r in b.to_pylist()])
     assert [r[:4] for r in runs[0]] == [r[:4] for r in runs[1]] and [r[0] for r in runs[0]] == [k for (k, _), x in zip(docs, texts, strict=True) for _ in x]
     assert np.allclose([r[4] for r in runs[0]], [r[4] for r in runs[1]]) and [r[5] is None for r in runs[0]] == [r[5] is None for r in runs[1]]
     got = TR.tiled_logits(spark.createDataFrame(docs, "doc_id string, text string").coalesce(1), tok, weights, 1, 4, 8).collect()
     assert [tuple(r)[:4] for r in got] == [r[:4] for r in runs[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs[i : i + 2], strict=True)], names=["id", "text"]) for i in (0, 2, 4)]
+    monkeypatch.setattr(TR, "HELD", 20)
+    groups = list(TR._held(C.Encoder(tok), iter(batches)))
+    assert len(groups) > 1 and [k for of, _ in groups for k in of.to_pylist()] == [k for k, _ in docs]
